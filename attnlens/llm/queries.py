@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import fingerprint, linededup, sharding
+from attnlens.llm import decontam, fingerprint, linededup, sharding
 from attnlens.llm.common import table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every 13-word window of ``benchmark``."""
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.with_verdict(found).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the tree of 4 regions x 2 racks x 5 shards; law ``key``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.ShardTree.balanced(REGIONS, RACKS, SHARDS))
@@ -31,9 +38,31 @@ def op9_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_fm_index_decontamination,
         op5_weighted_hash_tree, op7_site_spread_line_dedup, op9_scaled_sketch_fingerprints)}
 
 
+_OP1_SQL = r"""
+with words as (
+  select 'd' kind, doc_id id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+items as (
+  select id, least(13, len(w)) n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) i, w from words where kind = 'b' and len(w) > 0),
+windows as (select distinct id::varchar item, n, array_to_string(w[i:i + n - 1], ' ') s from items),
+lengths as (select distinct n from windows),
+places as (
+  select id, w, n, unnest(range(1, len(w) - n + 2)) i from words, lengths where kind = 'd' and len(w) >= n),
+hits as (
+  select p.id, p.i, p.n, x.item from places p join windows x on x.n = p.n and x.s = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+covered as (select id, count(distinct k) n_hit from (select id, unnest(range(i, i + n)) k from hits) group by id),
+found as (select id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct id, item from hits) group by id)
+select d.doc_id, coalesce(len(x.w), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(x.w), 0) contaminated
+from documents d left join words x on x.kind = 'd' and x.id = d.doc_id left join covered c on c.id = d.doc_id left join found f on f.id = d.doc_id
+"""
+
+
 _CRC_TABLE = "(select list(c order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i)))"
 
 
@@ -82,4 +111,4 @@ from documents d left join (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL}
+    return {"op1_fm_index_decontamination": _OP1_SQL, "op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL}
