@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fingerprint, linededup, sharding
+from attnlens.llm import decontam, fingerprint, linededup, minhash, sharding
 from attnlens.llm.common import table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -20,6 +20,11 @@ def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the tree of 4 regions x 2 racks x 5 shards; law ``key``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.ShardTree.balanced(REGIONS, RACKS, SHARDS))
@@ -38,7 +43,7 @@ def op9_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_fm_index_decontamination,
+        op1_fm_index_decontamination, op2_minhash_near_dedup,
         op5_weighted_hash_tree, op7_site_spread_line_dedup, op9_scaled_sketch_fingerprints)}
 
 
