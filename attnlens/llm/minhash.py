@@ -7,11 +7,10 @@ non-empty ones.  ROWS bins in a row make one of BANDS bucket keys.
 
 At a similarity of 0.8 two sets miss each other in every bucket with probability
 (1 - 0.8^5)^40 = 1.2e-7.  Documents of equal sets are one class from the start.  In each bucket the class
-with the smallest hash is the centre, every other class is linked to one centre (the smallest over its buckets), and links
-are confirmed on the full sets.  That bounds the first round to one pair per class.  Buckets that still hold
-several components then test their members against centre after centre, several a round, until all
-members of each bucket are in one component or every pair of different components was tested, so no link is lost
-to the choice of centres.
+with the smallest hash is the centre, every other class is linked to one centre (the smallest over its
+buckets), and links are confirmed on the full sets: at most one pair per class.  Buckets whose members are then in
+different components are settled exactly, so no link is lost to the choice of centres: small ones pair by pair, large ones
+by testing each family's strays against the whole family in blocks (``_families``).
 
 Defined cases: null or word-less texts have an empty set, are linked with nothing and kept; repeated
 rows and ties get equal results; empty tables give no rows; other columns are ignored (``drop_near_duplicates`` keeps them).
@@ -36,6 +35,10 @@ BINS = BANDS * ROWS
 PERCENT = 80
 #: Ids of the classes under test are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Buckets of up to so many members test their open pairs one by one.
+FEW = 8
+#: Sets in a block, and shingles in a slice, of the tests inside a family.
+BLOCK, COLUMNS = 256, 16_384
 #: Words whose hashes a worker keeps.
 CACHE = 500_000
 
@@ -158,8 +161,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
             .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
-                    centres: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``kept`` for every row of ``docs``."""
     signed = cut(signatures(docs, width, doc_id, text))
     classes = (signed.where("digest is not null").groupBy("digest")
@@ -175,36 +177,80 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
              .select(F.col("node").alias("a"), F.col("centre.node").alias("b")))
     links = cut(confirmed(cut(pairs), docs, width, percent, doc_id, text))
     merged = components(links)
-    tested = 0
+    # what the centres left open: buckets whose members are in different components
     members = members.drop("centre")
-    while True:
-        labelled = (members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-                 .where((F.col("low") != F.col("high")) & (F.col("members") > tested)).select("bucket"))
-        open_ = cut(labelled.join(mixed, "bucket", "left_semi"))
-        if not open_.limit(1).count():
-            break
-        # the next few centres of each open bucket, in the order of their hashes
-        ranked = _ranked(open_)
-        heads = ranked.where((F.col("rank") >= tested) & (F.col("rank") < tested + centres)).select(
-            "bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("rank").alias("at"))
-        pairs = (ranked.join(heads, "bucket").where((F.col("rank") > F.col("at")) & (F.col("component") != F.col("other")))
-                 .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-                 .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
-        links = cut(links.unionByName(confirmed(cut(pairs), docs, width, percent, doc_id, text)))
-        merged = components(links)
-        tested, centres = tested + centres, centres * 4
-        members = open_.select("bucket", "node", "n", "order")
+    labelled = members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                            F.count(F.lit(1)).alias("members"), F.min("node").alias("head"))
+             .where("low != high").select("bucket", "members", "head"))
+    open_ = cut(labelled.join(mixed, "bucket"))
+    few = open_.where(F.col("members") <= FEW).select("bucket", "node", "n", "component")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = (few.join(other, "bucket").where("node > b and component != other")
+             .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("node").alias("a"), "b").distinct())
+    links = links.unionByName(confirmed(cut(pairs), docs, width, percent, doc_id, text))
+    links = links.unionByName(_families(open_.where(F.col("members") > FEW), docs, width, percent, doc_id, text))
+    merged = components(links)
     labels = classes.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("copies > 1 or component is not null")
     labels = labels.select("digest", F.coalesce("component", "doc_id").alias("component"))
     component = F.coalesce("component", "doc_id")
     return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("order", "node")) - 1)
+def _families(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links across components inside families: nodes that buckets of more than FEW members hold together.
+
+    A family has one large component and some strays.  Strays are tested against all of the family, block
+    against block of at most about BLOCK sets each, so no task holds a family and no pair is a row.
+    """
+    family = components(rows.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    nodes = rows.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node", "left")
+    nodes = nodes.withColumn("family", F.coalesce("family", "node"))
+    parts = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("nodes"))
+    main = main.select("family", F.col("main.component").alias("main"), F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"),
+                       F.ceil((F.col("nodes") - F.col("main.size")) / BLOCK).cast("int").alias("stray_blocks"))
+    nodes = cut(nodes.join(main, "family").where("stray_blocks > 0"))
+    nodes = nodes.join(_sets(docs, nodes.select("node"), width, doc_id, text), "node")
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    at_stray = F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).cast("int")
+    columns = ["family", "node", "component", "shingles"]
+    whole = nodes.select(*columns, at.alias("block"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("stray_block"), F.lit(False).alias("stray"))
+    strays = nodes.where("component != main").select(
+        *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at_stray.alias("stray_block"), F.lit(True).alias("stray"))
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def links(part: pa.Table) -> pa.Table:
+        stray = part.column("stray").to_numpy(zero_copy_only=False)
+        node, component = part.column("node").to_numpy(), part.column("component").to_numpy()
+        lists = part.column("shingles").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        # shingles that no stray has cannot be shared with one
+        column = np.unique(flat[stray[owner]])
+        place = np.minimum(np.searchsorted(column, flat), max(0, len(column) - 1))
+        held = column[place] == flat if len(column) else np.zeros(len(flat), bool)
+        x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
+        both = np.zeros((len(x), len(y)), np.float32)
+        row_of = np.zeros(len(node), np.int64)
+        row_of[x], row_of[y] = np.arange(len(x)), np.arange(len(y))
+        for low in range(0, len(column), COLUMNS):
+            use = held & (place >= low) & (place < low + COLUMNS)
+            a = np.zeros((len(x), min(COLUMNS, len(column) - low)), np.float32)
+            b = np.zeros((len(y), a.shape[1]), np.float32)
+            of = use & stray[owner]
+            a[row_of[owner[of]], place[of] - low] = 1
+            of = use & ~stray[owner]
+            b[row_of[owner[of]], place[of] - low] = 1
+            both += a @ b.T
+        near = 100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
+        i, j = np.nonzero(near & (component[x][:, None] != component[y][None, :]))
+        # one link of a stray to each component is enough
+        _, first = np.unique(np.stack([x[i], component[y[j]]], 1), axis=0, return_index=True)
+        return pa.table({"a": node[x[i[first]]], "b": node[y[j[first]]]})
+
+    both = whole.unionByName(strays)
+    return both.groupBy("family", "block", "stray_block").applyInArrow(links, f"a {kind}, b {kind}")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
