@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fingerprint, linededup, minhash, sharding
+from attnlens.llm import decontam, fingerprint, linededup, minhash, packing, sharding, warc
 from attnlens.llm.common import table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -30,12 +30,24 @@ def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.ShardTree.balanced(REGIONS, RACKS, SHARDS))
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens of ``word_bpe_49k``."""
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_site_spread_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three words and more on three sites and more go, but for their first occurrence."""
     out = linededup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
+def op8_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written to the shared folder and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, five-word shingles, one hash in four."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -44,7 +56,7 @@ def op9_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fm_index_decontamination, op2_minhash_near_dedup,
-        op5_weighted_hash_tree, op7_site_spread_line_dedup, op9_scaled_sketch_fingerprints)}
+        op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints)}
 
 
 _OP1_SQL = r"""
@@ -115,5 +127,16 @@ from documents d left join (
 """
 
 
+_OP8_SQL = """
+with b as (select page_id, encode(coalesce(html, '')) p from pages),
+h as (select page_id, octet_length(p) n, unhex(sha1(p)) d, sha1(p) x from b),
+g as (select x, min(page_id) first from h group by x)
+select page_id, n payload_bytes,
+       (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) % 32 + 1)::bigint, 1), '' order by i) from range(32) r(i)) payload_digest,
+       case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from h join g using (x)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_index_decontamination": _OP1_SQL, "op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL}
+    return {"op1_fm_index_decontamination": _OP1_SQL, "op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL, "op8_chunked_warc": _OP8_SQL}
