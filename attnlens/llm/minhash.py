@@ -188,9 +188,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
     other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     pairs = (few.join(other, "bucket").where("node > b and component != other")
              .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("node").alias("a"), "b").distinct())
-    links = links.unionByName(confirmed(cut(pairs), docs, width, percent, doc_id, text))
-    links = links.unionByName(_families(open_.where(F.col("members") > FEW), docs, width, percent, doc_id, text))
-    merged = components(links)
+    pairs, families = cut(pairs), open_.where(F.col("members") > FEW)
+    found = []
+    if pairs.limit(1).count():
+        found.append(confirmed(pairs, docs, width, percent, doc_id, text))
+    if families.limit(1).count():
+        found.append(_families(families, docs, width, percent, doc_id, text))
+    if found:
+        for more in found:
+            links = links.unionByName(more)
+        merged = components(links)
     labels = classes.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("copies > 1 or component is not null")
     labels = labels.select("digest", F.coalesce("component", "doc_id").alias("component"))
     component = F.coalesce("component", "doc_id")
