@@ -29,7 +29,7 @@ from attnlens.llm.common import cut
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_200_000
 END = bytes(4)
 
 
@@ -47,10 +47,36 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
+        """Ids of new words.  Letters, then end marks: both parts are tokens of their own to the tokenizer,
+        which also lowers letters, so a word of letters is encoded once for all its cases and end marks."""
+        if len(self.known) + 2 * len(words) > CACHE:
             self.known.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        split, letters, other = [], {}, []
+        for word in words:
+            core = word.rstrip(b".,;:!?")
+            low = core.decode().lower()
+            if low.isalpha():
+                split.append((word, low, word[len(core) :]))
+                letters[low] = low.encode()
+            else:
+                other.append(word)
+        known = self.known
+        new = [low for low, key in letters.items() if key not in known]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+            ends = np.searchsorted(of, np.arange(len(part) + 1))
+            if len(of) and of[-1] != len(part) - 1:
+                raise ValueError("the tokenizer does not keep a word of letters together")
+            for low, b, e in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                known[letters[low]] = ids[b:e].tobytes()
+        for mark in {tail for _, _, tail in split if tail} - known.keys():
+            known[mark] = self._ids(mark.decode())
+        for word, low, tail in split:
+            known[word] = known[letters[low]] + known[tail] if tail else known[letters[low]]
+        for word, found in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, "<u4").tobytes()
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
@@ -60,8 +86,8 @@ class WordTokens:
                 yield self._ids(text) + END
             else:
                 words = text.encode("utf-8", "surrogatepass").split()  # at ASCII white space
-                if len(words) > CACHE // 2:  # more words than the cache keeps: in parts
-                    yield b"".join(self._part(words[k : k + CACHE // 2]) for k in range(0, len(words), CACHE // 2)) + END
+                if len(words) > CACHE // 8:  # more words than the cache keeps: in parts
+                    yield b"".join(self._part(words[k : k + CACHE // 8]) for k in range(0, len(words), CACHE // 8)) + END
                 else:
                     yield self._part(words) + END
 
@@ -69,16 +95,26 @@ class WordTokens:
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self._learn(new)
-            if len(self.known) == len(new):  # the cache was cleared
-                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            if missing := [w for w in dict.fromkeys(words) if w not in self.known]:  # the cache was cleared
+                self._learn(missing)
         return b"".join(map(self.known.__getitem__, words))
 
 
+_WORKER: dict[str, WordTokens] = {}
+
+
+def _tokens(path: str) -> WordTokens:
+    """One cache for all tasks of a Python worker."""
+    if path not in _WORKER:
+        _WORKER[path] = WordTokens(path)
+    return _WORKER[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece.  ``tokenizer``: the path of its file."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = _tokens(tokenizer)
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
             for at, ids in enumerate(tokens.many(batch.column(1).to_pylist())):
