@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fingerprint, linededup, minhash, packing, sharding, warc
+from attnlens.llm import decontam, fingerprint, htmltext, linededup, minhash, packing, sharding, toxicity, warc
 from attnlens.llm.common import table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -25,6 +25,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from the labels outside the held-out third."""
+    out = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    doc_id = F.col("row.doc_id")
+    return out.select(doc_id.alias("doc_id"), toxicity.held_out(doc_id).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the tree of 4 regions x 2 racks x 5 shards; law ``key``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.ShardTree.balanced(REGIONS, RACKS, SHARDS))
@@ -53,10 +61,15 @@ def op9_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFram
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_tree_model_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_fm_index_decontamination, op2_minhash_near_dedup,
-        op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints)}
+        op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity,
+        op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text)}
 
 
 _OP1_SQL = r"""
