@@ -3,8 +3,8 @@
 1. From a bounded sample of labelled training rows (at most ``max_rows`` of each label, picked by a hash), words and word
    starts that toxic rows hold far more often are mined and dealt into lexicon voters; pattern voters look at
    exclamation marks, capitals and repetition.
-2. A generative label model sees only the voters' firings: EM over a hidden label estimates how often each
-   voter fires under either label, and from the residuals of the fit the correlations between voters; a voter's log
+2. A generative label model estimates, by EM over a hidden label and starting from the voters' rates on the sample, how
+   often each voter fires under either label, and from the residuals of the fit the correlations between voters; a voter's log
    odds count 1 / (1 + the sum of its positive correlations), so many copies of one signal weigh as one.
 3. A logistic regression on hit counts is trained on the posterior labels and scores every whole text.
 
@@ -34,10 +34,10 @@ from attnlens.llm.common import alnum_words
 MAX_ROWS = 5_000
 STARTS = (3, 4, 5, 6)
 FEATURES = 3_000
-VOTERS = 24
-MIN_ROWS = 4
+VOTERS, STRONG = 24, 12
+MIN_ROWS = 6
 #: log of the least ratio between a feature's frequency in toxic and other rows
-MIN_RATIO = np.log(12.0)
+MIN_RATIO = np.log(30.0)
 CUT = 0.7
 
 
@@ -94,7 +94,8 @@ class Model:
 
 def _design(counts: np.ndarray) -> np.ndarray:
     hits = counts[:, :VOTERS]
-    return np.concatenate([np.log1p(hits), np.log1p(hits.sum(1, keepdims=True)), (hits > 0).sum(1, keepdims=True), counts[:, VOTERS:]], 1)
+    strong, weak = hits[:, :STRONG].sum(1, keepdims=True), hits[:, STRONG:].sum(1, keepdims=True)
+    return np.concatenate([np.log1p(hits), np.log1p(strong), strong > 0, np.log1p(weak), weak > 0, counts[:, VOTERS:]], 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,41 +103,44 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def mine(rows: list[tuple[str | None, int]]) -> dict[bytes, int]:
-    """Features of toxic rows and the voter of each."""
+    """Features of toxic rows and the voter of each.  Features that no clean row has go to the first STRONG voters."""
     counts = (Counter(), Counter())
     total = [0, 0]
     for text, label in rows:
         total[label] += 1
         counts[label].update({f for w in set(alnum_words(text)) for f in _features(w)})
-    found = []
+    strong, weak = [], []
     for f, n in counts[1].items():
         if n >= MIN_ROWS:
-            ratio = np.log((n + 0.5) / (total[1] + 1)) - np.log((counts[0].get(f, 0) + 0.5) / (total[0] + 1))
+            clean = counts[0].get(f, 0)
+            ratio = np.log((n + 0.5) / (total[1] + 1)) - np.log((clean + 0.5) / (total[0] + 1))
             if ratio >= MIN_RATIO:
-                found.append((-n * ratio, f))
-    found.sort()
-    return {f: k % VOTERS for k, (_, f) in enumerate(found[:FEATURES])}
+                (weak if clean or n < 2 * MIN_ROWS else strong).append((-n * ratio, f))
+    out = {f: k % STRONG for k, (_, f) in enumerate(sorted(strong)[:FEATURES])}
+    return out | {f: STRONG + k % (VOTERS - STRONG) for k, (_, f) in enumerate(sorted(weak)[:FEATURES])}
 
 
-def label_model(fired: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden label, rates [label, voter] and the voters' weights, from firings alone."""
-    share = fired.mean(1)
-    post = np.clip((share > np.quantile(share, 1 - prior)).astype(float), 0.05, 0.95)
-    weights = np.ones(fired.shape[1])
+def label_model(fired: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50, trust: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label, rates [label, voter] and the voters' weights.  ``start``: the rates to begin with, which
+    also count as ``trust`` times as many rows as there are."""
+    n, rates, weights = len(fired), start, np.ones(fired.shape[1])
+    post = np.zeros(n)
     for step in range(rounds):
-        rates = np.stack([((1 - post) @ fired + 0.5) / ((1 - post).sum() + 1), (post @ fired + 0.5) / (post.sum() + 1)])
-        if step >= 5:  # correlations of what the label does not explain
-            rest = fired - (post[:, None] * rates[1] + (1 - post)[:, None] * rates[0])
-            cov = rest.T @ rest / len(rest)
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            corr[corr < 0.05] = 0
-            weights = 1 / corr.sum(1).clip(1)
         odds = np.log(prior / (1 - prior)) + (fired * np.log(rates[1] / rates[0]) + (1 - fired) * np.log((1 - rates[1]) / (1 - rates[0]))) @ weights
         new = _sigmoid(odds)
-        if np.abs(new - post).max() < 1e-6:
-            break
+        done = np.abs(new - post).max() < 1e-6
         post = new
+        if step >= 2 and done:
+            break
+        mass = np.array([(1 - post).sum(), post.sum()])[:, None]
+        extra = trust * n * np.array([[1 - prior], [prior]])
+        rates = (np.stack([(1 - post) @ fired, post @ fired]) + extra * start) / (mass + extra)
+        rest = fired - (post[:, None] * rates[1] + (1 - post)[:, None] * rates[0])  # what the label does not explain
+        cov = rest.T @ rest / n
+        sd = np.sqrt(np.diag(cov)) + 1e-9
+        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
+        corr[corr < 0.05] = 0
+        weights = 1 / corr.sum(1).clip(1)
     return post, rates, weights
 
 
@@ -150,7 +154,8 @@ def fit(rows: list[tuple[str | None, int]], share: float) -> Model:
     limits = np.quantile(clean[:, VOTERS:], 0.99, axis=0) if len(clean) else np.ones(4)
     hits = counts[:, :VOTERS]
     fired = np.concatenate([hits > 0, hits.sum(1, keepdims=True) >= 2, hits.sum(1, keepdims=True) >= 4, counts[:, VOTERS:] > limits], 1).astype(float)
-    post, _, _ = label_model(fired, float(np.clip(labels.mean(), 0.01, 0.99)))
+    start = np.stack([(fired[labels == k].sum(0) + 0.5) / ((labels == k).sum() + 1) for k in (0, 1)])
+    post, _, _ = label_model(fired, start, float(np.clip(labels.mean(), 0.01, 0.99)))
     x = _design(counts)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
@@ -180,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True) if t is not None)
         if {y for _, _, y in rows} == {0, 1}:
-            model = fit([(t, y) for _, t, y in rows], share)
+            model = fit(sorted({(t, y) for _, t, y in rows}), share)  # a text counts once, however many copies it has
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.lexicon, model.mean, model.scale, model.weights, model.bias))], pa.binary())], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
