@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fingerprint, htmltext, linededup, minhash, packing, sharding, toxicity, warc
+from attnlens.llm import decontam, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
 from attnlens.llm.common import table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -33,6 +33,11 @@ def op3_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
                       (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op4_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text, learned from those outside the held-out seventh."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the tree of 4 regions x 2 racks x 5 shards; law ``key``."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.ShardTree.balanced(REGIONS, RACKS, SHARDS))
@@ -68,7 +73,7 @@ def op10_tree_model_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity,
+        op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity, op4_gated_recurrent_lm,
         op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text)}
 
 
