@@ -5,11 +5,213 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attnlens.operators import analysis, edges, signals
+from attnlens.sources.tokens import KEY, read, sample_labels, tokens
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 6
+_K = ", ".join(KEY)
+_TOK = """tok as (
+  select vec_id // 20 as request_id, cast(h.s // 2 as int) as layer_idx, cast(h.s % 2 as int) as head, cast(vec_id % 20 as int) as pos,
+         list_transform(embedding[h.s*16+1:h.s*16+8], lambda x: x::double*8) as q, list_transform(embedding[h.s*16+9:h.s*16+16], lambda x: x::double*8) as k
+  from embeddings cross join (select unnest([0,1,2,3]) as s) h),
+"""
+
+
+def _scores(causal: bool, scale: str = "sqrt(8.0)") -> str:
+    return f"""e as (select a.request_id, a.layer_idx, a.head, a.pos i, b.pos j, list_dot_product(a.q, b.k) / {scale} s
+  from tok a join tok b using ({_K}) {"where b.pos <= a.pos" if causal else ""}),
+"""
+
+
+_SOFTMAX = f"""x as (select *, exp(s - max(s) over (partition by {_K}, i)) v from e),
+p as (select {_K}, i, j, v / sum(v) over (partition by {_K}, i) p from x)
+"""
+_BEATS = f"""b as (select {_K}, e.i, e.j from e join (select {_K}, j i, i j, s t from e) f using ({_K}, i, j) where e.i <> e.j and (s > t or (s = t and e.i < e.j)))
+"""
+
+
+def _asym(source: str) -> str:
+    return f""", t as (select {_K}, sum({source}.p * {source}.p) sq, sum({source}.p * coalesce(u.p, 0)) sym
+  from {source} left join (select {_K}, j i, i j, p from {source}) u using ({_K}, i, j) group by {_K}),
+r as (select {_K}, node, sum(v) r from (select {_K}, i node, p / 2 v from {source} union all select {_K}, j, -p / 2 from {source}) group by {_K}, node),
+rr as (select {_K}, sum(r * r) rr, count(*) n from r group by {_K})
+select {_K}, round(sqrt(greatest((sq - sym) / 2, 0)) / sqrt(sq), 6) g, round(sqrt(2 * rr / n) / sqrt(sq), 6) gamma,
+  round(sqrt(greatest((sq - sym) / 2 - 2 * rr / n, 0)) / sqrt(sq), 6) c from t join rr using ({_K})"""
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded for comparison; + 0.0 turns a negative zero into zero."""
+    return df.withColumns({c: (F.transform(c, lambda x: F.round(x, DIGITS) + 0.0) if df.schema[c].dataType.typeName() == "array" else F.round(c, DIGITS) + 0.0) for c in columns})
+
+
+def _doc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+            .select("doc_id", F.col("source").alias("prompt"), F.char_length("text").cast("double").alias("length"), F.col("toxic").alias("label")))
+
+
+def _layer_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = signals.diagonal(edges.attention(tokens(spark, sf_dir)))
+    # rounded first, so that ties are the same in both engines
+    m = d.groupBy("request_id", "layer_idx").agg(F.round(F.avg("logmean"), 9).alias("x"))
+    return m.join(sample_labels(spark, sf_dir), "request_id")
+
+
+def tokens_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir)
+
+
+def last_l_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five positions of each head."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("pos")))
+    return tokens(spark, sf_dir).select(*KEY, "pos", at.alias("back")).where("back <= 5")
+
+
+def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(edges.attention(tokens(spark, sf_dir)).select(*KEY, "i", "j", "p"), "p")
+
+
+def row_logsumexp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = edges.scores(tokens(spark, sf_dir), causal=True)
+    return _rounded(s.groupBy(*KEY, "i").agg(F.max("s").alias("m"), F.collect_list("s").alias("v"))
+                    .select(*KEY, "i", (F.col("m") + F.ln(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m"))))).alias("lse")), "lse")
+
+
+def key_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(edges.attention(tokens(spark, sf_dir)).groupBy(*KEY, "j").agg(F.sum("p").alias("degree")), "degree")
+
+
+def degree_normalized_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(edges.normalized(edges.attention(tokens(spark, sf_dir))), "p")
+
+
+def selfattn_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.diagonal(edges.attention(tokens(spark, sf_dir))), "logmean", "eigvals")
+
+
+def laplacian_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.laplacian(edges.attention(tokens(spark, sf_dir))), "eigvals")
+
+
+def asymmetry_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.asymmetry(edges.attention(tokens(spark, sf_dir))), "g", "gamma", "c")
+
+
+def asymmetry_noncausal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.asymmetry(edges.attention(tokens(spark, sf_dir), causal=False), causal=False), "g", "gamma", "c")
+
+
+def asymmetry_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.witness(edges.attention(tokens(spark, sf_dir))), "witness")
+
+
+def routing_hodge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.asymmetry(edges.normalized(edges.attention(tokens(spark, sf_dir)))), "g", "gamma", "c")
+
+
+def cyclic_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.cyclic_count(tokens(spark, sf_dir))
+
+
+def cyclic_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.cyclic_witness(tokens(spark, sf_dir))
+
+
+def magnetic_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.magnetic_degree(tokens(spark, sf_dir)), "degree")
+
+
+def spectral_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of squared singular values, which is the squared norm of the scores."""
+    s = signals.spectral(tokens(spark, sf_dir), rank=8)
+    return s.select(*KEY, F.round(F.aggregate("sigmas", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
+
+
+def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(signals.spectral(tokens(spark, sf_dir)), "sigmas")
+
+
+def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.tumbling(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 16), "total")
+
+
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.sliding(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 16, 8), "total")
+
+
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_samples(spark, sf_dir).withColumn("key", F.concat_ws("|", "prompt", F.col("doc_id").cast("string")))
+    return analysis.hash_split(rows, "key").select("doc_id", "label")
+
+
+def balance_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.balanced(_doc_samples(spark, sf_dir).select("doc_id", "label"), "label", "doc_id").select("doc_id", "label")
+
+
+def label_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.quartiles(_doc_samples(spark, sf_dir), ["label"], "length"), "q1", "q2", "q3")
+
+
+def layer_feature_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_layer_means(spark, sf_dir), "x")
+
+
+def point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.correlation(_layer_means(spark, sf_dir), ["layer_idx"], "x", "label"), "r")
+
+
+def auroc_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(analysis.auroc(_layer_means(spark, sf_dir), ["layer_idx"], "x", "label"), "auroc")
+
+
+_SOFT = f"with {_TOK}{_scores(True)}{_SOFTMAX}"
+_ALL = f"with {_TOK}{_scores(False)}{_SOFTMAX}"
+_TOUR = f"with {_TOK}{_scores(False, '1.0')}{_BEATS}"
+_M = f"{_SOFT}, m as (select {_K}, i, j, p / sqrt(sum(p) over (partition by {_K}, j)) p from p)"
+_MEANS = f"""{_SOFT}, d as (select {_K}, avg(ln(p + 1e-10)) logmean from p where i = j group by {_K}),
+l as (select vec_id // 20 request_id, (sum(label) % 2)::int as label from embeddings group by 1),
+m as (select request_id, layer_idx, round(avg(logmean), 9) x, label from d join l using (request_id) group by request_id, layer_idx, label)"""
+_SAMPLES = "with s as (select doc_id, source prompt, length(text)::double length, toxic as label from documents join labels using (doc_id))"
+
+ORACLES: dict[str, str] = {
+    "tokens_fixture": f"with {_TOK.rstrip().rstrip(',')} select * from tok",
+    "last_l_alignment": f"with {_TOK.rstrip().rstrip(',')} select * from (select {_K}, pos, row_number() over (partition by {_K} order by pos desc)::int back from tok) where back <= 5",
+    "causal_attention": f"{_SOFT} select {_K}, i, j, round(p, 6) p from p",
+    "row_logsumexp": f"with {_TOK}{_scores(True).rstrip().rstrip(',')} select {_K}, i, round(max(s) + ln(sum(exp(s - m))), 6) lse from (select *, max(s) over (partition by {_K}, i) m from e) group by {_K}, i",
+    "key_degree": f"{_SOFT} select {_K}, j, round(sum(p), 6) degree from p group by {_K}, j",
+    "degree_normalized_m": f"{_M} select {_K}, i, j, round(p, 6) p from m",
+    "selfattn_diagonal": f"{_SOFT} select {_K}, round(avg(ln(p + 1e-10)), 6) logmean, list_transform(list(p order by p desc)[1:10], lambda x: round(x, 6)) eigvals from p where i = j group by {_K}",
+    "laplacian_topk": f"{_SOFT} select {_K}, list_transform(list(v order by v desc)[1:10], lambda x: round(x, 6) + 0.0) eigvals from (select {_K}, j, sum(p) - sum(case when i = j then p else 0 end) v from p group by {_K}, j) group by {_K}",
+    "asymmetry_causal": _SOFT + _asym("p"), "asymmetry_noncausal": _ALL + _asym("p"), "routing_hodge_split": _M + _asym("m"),
+    "asymmetry_witness": f"{_SOFT}, o as (select {_K}, unnest([i, j]) node, p * p / 4 m from p where i <> j), w as (select {_K}, sum(p * p) sq from p group by {_K}) select {_K}, node, round(sqrt(sum(m) / any_value(sq)), 6) witness from o join w using ({_K}) group by {_K}, node",
+    "cyclic_count": f"{_TOUR} select {_K}, (20 * 19 * 18 // 6 - sum(w * (w - 1) // 2))::bigint t_cyc from (select {_K}, i, count(*) w from b group by {_K}, i) group by {_K}",
+    "cyclic_witness": f"""{_TOUR}, n as (select {_K}, pos t from tok) select {_K}, t, (t * (t - 1) // 2 - coalesce((select count(*) * (count(*) - 1) // 2 from b where (b.request_id, b.layer_idx, b.head, b.i) = (n.request_id, n.layer_idx, n.head, n.t) and b.j < n.t), 0)
+  - coalesce((select count(*) from b join b c on (b.request_id, b.layer_idx, b.head, b.i) = (c.request_id, c.layer_idx, c.head, c.i) where (b.request_id, b.layer_idx, b.head, b.j) = (n.request_id, n.layer_idx, n.head, n.t) and b.i < n.t and c.j < n.t), 0))::bigint closed from n""",
+    "magnetic_degree": f"with {_TOK}{_scores(False).rstrip().rstrip(',')} select {_K}, i, round(sum((abs(s) + abs(t)) / 2), 6) degree from e join (select {_K}, j i, i j, s t from e) f using ({_K}, i, j) where e.i <> e.j group by {_K}, i",
+    "spectral_energy": f"with {_TOK}{_scores(False, '1.0').rstrip().rstrip(',')} select {_K}, round(sum(s * s), 4) energy from e group by {_K}",
+    "tumbling_windows": "select user_id, window_id, count(*) n, round(sum(value), 6) total from (select *, (row_number() over (partition by user_id order by ts, event_id) - 1) // 16 window_id from events) group by user_id, window_id having count(*) = 16",
+    "sliding_windows": "select * from (select user_id, row_number() over (partition by user_id order by ts, event_id)::int step, count(*) over w n, round(sum(value) over w, 6) total from events window w as (partition by user_id order by ts, event_id rows 15 preceding)) where step % 8 = 0 and n >= 2",
+    "hash_split": f"{_SAMPLES} select doc_id, label from s where ('0x' || substr(sha256(prompt || '|' || doc_id), 1, 16))::ubigint::double / 18446744073709551616.0 >= 0.7",
+    "balance_classes": f"{_SAMPLES} select doc_id, label from (select *, row_number() over (partition by label order by doc_id) a from s) where a <= (select min(n) from (select count(*) n from s group by label))",
+    "label_quartiles": f"{_SAMPLES} select label, round(quantile_cont(length, 0.25), 6) q1, round(quantile_cont(length, 0.5), 6) q2, round(quantile_cont(length, 0.75), 6) q3 from s group by label",
+    "layer_feature_mean": f"{_MEANS} select request_id, layer_idx, round(x, 6) x, label from m",
+    "point_biserial": f"{_MEANS} select layer_idx, count(*) n, round(corr(label::double, x), 6) r from m group by layer_idx having count(*) >= 10 and count(distinct label) = 2",
+    "auroc_by_layer": f"{_MEANS} select layer_idx, round((sum(case when label = 1 then k end) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) auroc from (select *, rank() over (partition by layer_idx order by x) + (count(*) over (partition by layer_idx, x) - 1) / 2 k from m) group by layer_idx",
+}
+
+QUERIES: list[Query] = [
+    tokens_fixture, last_l_alignment, causal_attention, row_logsumexp, key_degree, degree_normalized_m, selfattn_diagonal, laplacian_topk, asymmetry_causal,
+    asymmetry_noncausal, asymmetry_witness, routing_hodge_split, cyclic_count, cyclic_witness, magnetic_degree, spectral_energy, spectral_features,
+    tumbling_windows, sliding_windows, hash_split, balance_classes, label_quartiles, layer_feature_mean, point_biserial, auroc_by_layer]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
