@@ -71,8 +71,9 @@ class WordTokens:
                 raise ValueError("the tokenizer does not keep a word of letters together")
             for low, b, e in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 known[letters[low]] = ids[b:e].tobytes()
-        for mark in {tail for _, _, tail in split if tail} - known.keys():
-            known[mark] = self._ids(mark.decode())
+        for mark in {tail for _, _, tail in split if tail}:
+            if mark not in known:
+                known[mark] = self._ids(mark.decode())
         for word, low, tail in split:
             known[word] = known[letters[low]] + known[tail] if tail else known[letters[low]]
         for word, found in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
