@@ -29,7 +29,7 @@ from attnlens.llm.common import cut
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Words whose ids a worker keeps.
-CACHE = 1_200_000
+CACHE = 1_800_000
 END = bytes(4)
 
 
