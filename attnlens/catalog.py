@@ -210,8 +210,12 @@ QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    from attnlens import more
+
+    return {q.__name__: q for q in QUERIES + more.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from attnlens import more
+
+    return ORACLES | more.ORACLES

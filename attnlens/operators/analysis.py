@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,40 @@ def auroc(rows: DataFrame, by: list[str], x: str, label: str) -> DataFrame:
 def quartiles(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     return rows.groupBy(*by).agg(q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"))
+
+
+def histogram(rows: DataFrame, by: str, x: str, bins: int) -> DataFrame:
+    """``by, bin, n``: ``bins`` equal parts between a group's least and largest value; empty parts have no row."""
+    ends = rows.groupBy(by).agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    part = F.least(F.floor((F.col(x) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    at = rows.join(ends, by).withColumn("bin", F.when(F.col("high") > F.col("low"), part).otherwise(0).cast("int"))
+    return at.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _auroc(x: np.ndarray, label: np.ndarray) -> float:
+    values, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    mid = np.cumsum(n) - (n - 1) / 2
+    n1 = int(label.sum())
+    return float((mid[at][label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(x) - n1)))
+
+
+def bootstrap_auroc(rows: DataFrame, by: str, order: str, x: str, label: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """AUROC of each group and the 2.5 and 97.5 percentiles over resamples; null where a group has one class, resamples of one class do not count.
+
+    A group is one feature's column of labelled samples, in the order of ``order``."""
+
+    def limits(part: pa.Table) -> pa.Table:
+        part = part.sort_by(order)
+        v, y = part.column(x).to_numpy(), part.column(label).to_numpy()
+        found = None, None, None
+        if 0 < y.sum() < len(y):
+            draw, seen = np.random.RandomState(seed), []
+            for _ in range(resamples):
+                at = draw.randint(0, len(y), len(y))
+                if 0 < y[at].sum() < len(y):
+                    seen.append(_auroc(v[at], y[at]))
+            found = _auroc(v, y), *(map(float, np.percentile(seen, [2.5, 97.5])) if seen else (None, None))
+        return pa.table({by: part.column(by)[:1], **{c: pa.array([f], pa.float64()) for c, f in zip(("auroc", "low", "high"), found, strict=True)}})
+
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.where(F.col(x).isNotNull() & F.col(label).isNotNull()).select(by, order, x, label).groupBy(by).applyInArrow(limits, f"{by} {kind}, auroc double, low double, high double")

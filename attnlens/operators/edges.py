@@ -9,19 +9,19 @@ from attnlens.functions.arrays import dot
 from attnlens.sources.tokens import DIMS, KEY
 
 
-def scores(tok: DataFrame, causal: bool, scale: bool = True) -> DataFrame:
+def scores(tok: DataFrame, causal: bool, scale: bool = True, key: list[str] = KEY) -> DataFrame:
     """Scores of token pairs of one key; ``causal`` prunes the pairs inside the join instead of masking them."""
-    a = tok.select(*KEY, F.col("pos").alias("i"), "q")
-    b = tok.select(*KEY, F.col("pos").alias("j"), "k")
-    pairs = a.join(b, KEY).where("j <= i") if causal else a.join(b, KEY)
-    return pairs.select(*KEY, "i", "j", (dot("q", "k") / (DIMS ** 0.5 if scale else 1.0)).alias("s"))
+    a = tok.select(*key, F.col("pos").alias("i"), "q")
+    b = tok.select(*key, F.col("pos").alias("j"), "k")
+    pairs = a.join(b, key).where("j <= i") if causal else a.join(b, key)
+    return pairs.select(*key, "i", "j", (dot("q", "k") / (DIMS ** 0.5 if scale else 1.0)).alias("s"))
 
 
-def attention(tok: DataFrame, causal: bool = True) -> DataFrame:
+def attention(tok: DataFrame, causal: bool = True, key: list[str] = KEY) -> DataFrame:
     """Row-stochastic weights ``p``: a stable softmax whose two window aggregates share one exchange."""
-    row = Window.partitionBy(*KEY, "i")
-    e = scores(tok, causal).withColumn("x", F.exp(F.col("s") - F.max("s").over(row)))
-    return e.withColumn("p", F.col("x") / F.sum("x").over(row)).select(*KEY, "i", "j", "s", "p")
+    row = Window.partitionBy(*key, "i")
+    e = scores(tok, causal, key=key).withColumn("x", F.exp(F.col("s") - F.max("s").over(row)))
+    return e.withColumn("p", F.col("x") / F.sum("x").over(row)).select(*key, "i", "j", "s", "p")
 
 
 def normalized(p: DataFrame, eps: float = 1e-10) -> DataFrame:

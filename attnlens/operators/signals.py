@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnlens.functions.arrays import pairs
-from attnlens.operators.edges import scores
+from attnlens.operators.edges import attention, scores
 from attnlens.sources.tokens import KEY
 
 EPS = 1e-10
@@ -36,6 +36,31 @@ def asymmetry(e: DataFrame, causal: bool = True) -> DataFrame:
     return sums.join(rr, KEY).select(*KEY, *_split(F.col("sq"), F.col("sym"), F.col("rr"), F.col("n")))
 
 
+def asymmetry_of_windows(tok: DataFrame, width: int) -> DataFrame:
+    """Asymmetry of the block-diagonal matrix of disjoint windows: squared norms, antisymmetric parts and gradients add up."""
+    key = [*KEY, "window_id"]
+    at = tok.withColumn("window_id", F.floor(F.col("pos") / width))
+    e = attention(at, key=key)
+    sums = e.groupBy(*key).agg(F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.when(F.col("i") == F.col("j"), F.col("p") * F.col("p")).otherwise(0.0)).alias("sym"))
+    half = e.select(*key, F.explode(F.array(F.struct(F.col("i").alias("node"), (F.col("p") / 2).alias("v")), F.struct(F.col("j").alias("node"), (-F.col("p") / 2).alias("v")))).alias("x"))
+    r = half.groupBy(*key, "x.node").agg(F.sum("x.v").alias("r"))
+    rr = r.groupBy(*key).agg((F.sum(F.col("r") * F.col("r")) / F.count(F.lit(1))).alias("rr"))
+    total = sums.join(rr, key).groupBy(*KEY).agg(F.sum("sq").alias("sq"), F.sum("sym").alias("sym"), F.sum("rr").alias("rr"))
+    return total.select(*KEY, *_split(F.col("sq"), F.col("sym"), F.col("rr"), F.lit(1)))
+
+
+def asymmetry_of_prefixes(e: DataFrame) -> DataFrame:
+    """Asymmetry of every prefix of ``n`` tokens of a causal matrix.  Its rows stay as they are when tokens follow, so the sums run on;
+    a node's potential after row i is half of 1 less its column so far.  ``e`` has all pairs i >= j."""
+    column = F.sum("p").over(Window.partitionBy(*KEY, "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    r = (1 - column) / 2
+    rows = e.withColumn("r", r).groupBy(*KEY, "i").agg(F.sum(F.col("p") * F.col("p")).alias("sq"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+                                                       F.sum(F.when(F.col("i") == F.col("j"), F.col("p") * F.col("p")).otherwise(0.0)).alias("sym"))
+    past = Window.partitionBy(*KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select(*KEY, (F.col("i") + 1).alias("n"), F.sum("sq").over(past).alias("sq"), F.sum("sym").over(past).alias("sym"), "rr")
+    return run.select(*KEY, "n", *_split(F.col("sq"), F.col("sym"), F.col("rr"), F.col("n")))
+
+
 def witness(e: DataFrame) -> DataFrame:
     """Per node the norm of its row of the antisymmetric part over the whole norm (causal edges)."""
     off = e.where("i != j").select(*KEY, F.explode(F.array("i", "j")).alias("node"), (F.col("p") * F.col("p") / 4).alias("m"))
