@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, small, space_words
+from attnlens.llm.common import cut, release, small, space_words
 from attnlens.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
     """``doc_id, n_shingles, digest`` (of the set) and ``bands`` (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler(width)
         for batch in batches:
             sizes, digests, keys = [], [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut
+from attnlens.llm.common import cut, kept
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
@@ -101,21 +101,11 @@ class WordTokens:
         return b"".join(map(self.known.__getitem__, words))
 
 
-_WORKER: dict[str, WordTokens] = {}
-
-
-def _tokens(path: str) -> WordTokens:
-    """One cache for all tasks of a Python worker."""
-    if path not in _WORKER:
-        _WORKER[path] = WordTokens(path)
-    return _WORKER[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece.  ``tokenizer``: the path of its file."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(tokenizer)
+        tokens = kept(("tokens", tokenizer), lambda: WordTokens(tokenizer))  # for all tasks of a worker
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
             for at, ids in enumerate(tokens.many(batch.column(1).to_pylist())):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attnlens.llm.common import alnum_words
+from attnlens.llm.common import alnum_words, release
 
 MAX_ROWS = 5_000
 STARTS = (3, 4, 5, 6)
@@ -202,6 +202,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(state)  # at most FEATURES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = Model(*sent.value)
         for batch in batches:
             texts = pa.compute.struct_field(batch.column(0), "text").to_pylist()
