@@ -12,7 +12,7 @@ buckets), and links are confirmed on the full sets: at most one pair per class.
 different components are settled exactly, so no link is lost to the choice of centres: small ones pair by pair, large ones
 by testing each family's strays against the whole family in blocks (``_families``).
 
-Defined cases: null or word-less texts have an empty set, are linked with nothing and kept; repeated
+Defined cases: null or word-less texts have an empty set, are linked with nothing and kept, as are rows with a null id; repeated
 rows and ties get equal results; empty tables give no rows; other columns are ignored (``drop_near_duplicates`` keeps them).
 """
 
@@ -165,7 +165,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` and ``kept`` for every row of ``docs``."""
     signed = cut(signatures(docs, width, doc_id, text))
-    classes = (signed.where("digest is not null").groupBy("digest")
+    classes = (signed.where("digest is not null and doc_id is not null").groupBy("digest")
                .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"), F.count(F.lit(1)).alias("copies")))
     classes = cut(classes.select("digest", "first.*", "copies"))
     rows = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
         merged = components(links)
     labels = classes.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("copies > 1 or component is not null")
     labels = labels.select("digest", F.coalesce("component", "doc_id").alias("component"))
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
