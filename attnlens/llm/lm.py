@@ -10,7 +10,8 @@ probability.  The state is a gated recurrent unit's; it starts at zero with each
 window to the text's end, so a score is the whole text's.
 
 Training.  Truncated backpropagation through time over windows of STEPS tokens, Adam, in ``shards`` tasks at once; after each
-round the shards' weights are averaged.  The number of shards follows the corpus up to MAX_SHARDS, each reading a
+round the shards' weights are averaged.  A shard makes at least one whole pass over its texts: a longer one has more streams, a short one more
+passes, up to ROUND_STEPS windows.  Each round has other texts.  The number of shards follows the corpus up to MAX_SHARDS, each reading a
 hashed sample of about SHARD_DOCS training texts.
 
 Defined cases: a null or empty text is its end alone; repeated rows get equal scores; an empty training set leaves the untrained
@@ -135,34 +136,41 @@ def text_log_probs(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.
 def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tuple[Weights, np.ndarray, float]:
     """Gradients of the mean loss over one window [step, stream], the last state, and the loss."""
     steps, streams, n = *x.shape, HIDDEN
-    kept, h = [], h0
+    kept, h, states = [], h0, np.empty((steps, streams, n), np.result_type(h0, w["u"]))
     for t in range(steps):
         h = np.where((x[t] == START)[:, None], np.float32(0), h)  # a text begins
         z, r, a, c, new = _step(w, x[t], h)
         kept.append((h, z, r, a, c))
-        h = new
-    states = np.stack([*(k[0] for k in kept[1:]), h])
-    # a state that the next text's start resets is still the one that predicts its end
-    for t in range(steps - 1):
-        h_t, z, r, a, c = kept[t]
-        states[t] = c + z * (h_t - c)
+        # a state that the next text's start resets is still the one that predicts its end
+        states[t] = h = new
     flat, sym = states.reshape(-1, n), y.ravel()
     cls = _class_of(sym)
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    lp = _log_softmax(flat @ w["c"] + w["cb"])
-    loss = -float(lp[np.arange(len(sym)), cls].sum())
-    d = np.exp(lp)
-    d[np.arange(len(sym)), cls] -= 1
+
+    def softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+        """The loss's derivative by the logits, and the loss."""
+        d = rows @ weights
+        d += bias
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
+        real = np.arange(len(at))
+        loss = -float(np.log(d[real, at] + 1e-30).sum())
+        d[real, at] -= 1
+        return d, loss
+
+    d, loss = softmax(flat, w["c"], w["cb"], cls)
     g["c"], g["cb"] = flat.T @ d, d.sum(0)
     dh_out = d @ w["c"].T
+    order = np.argsort(cls, kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(FREQUENT_CLASSES + 1))
     for c in range(FREQUENT_CLASSES):
-        rows = np.flatnonzero(cls == c)
+        rows = order[ends[c] : ends[c + 1]]
         if len(rows):
-            lp = _log_softmax(flat[rows] @ w["w"][c] + w["wb"][c])
-            loss -= float(lp[np.arange(len(rows)), sym[rows] % WIDTH].sum())
-            d = np.exp(lp)
-            d[np.arange(len(rows)), sym[rows] % WIDTH] -= 1
-            g["w"][c], g["wb"][c] = flat[rows].T @ d, d.sum(0)
+            part = flat[rows]
+            d, more = softmax(part, w["w"][c], w["wb"][c], sym[rows] % WIDTH)
+            loss += more
+            g["w"][c], g["wb"][c] = part.T @ d, d.sum(0)
             dh_out[rows] += d @ w["w"][c].T
     dh_out = dh_out.reshape(steps, streams, n)
     back, dgs = np.zeros((streams, n), np.float32), np.empty((steps, streams, 3 * n), np.float32)
@@ -176,35 +184,45 @@ def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tupl
         g["u"] += h_t.T @ dhu
         back = dh * z + dhu @ w["u"].T
         back[x[t] == START] = 0
-    np.add.at(g["x"], x.ravel(), dgs.reshape(-1, 3 * n))
+    order = np.argsort(x, axis=None, kind="stable")
+    seen, first = np.unique(x.ravel()[order], return_index=True)
+    g["x"][seen] = np.add.reduceat(dgs.reshape(-1, 3 * n)[order], first)
     return {k: v / len(sym) for k, v in g.items()}, h, loss / len(sym)
 
 
-def train(w: Weights, texts: list[np.ndarray], steps: int, rate: float = 0.01) -> tuple[Weights, float]:
-    """``steps`` windows of Adam over the texts, laid end to end in STREAMS streams."""
+def windows(texts: list[np.ndarray], steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and next symbols [step, stream] of one whole pass over the texts, laid end to end in as many streams, STREAMS at least, as need no more
+    than ``steps`` windows.  Every symbol is in a window; the texts' beginning is repeated to fill the last stream."""
     flat = np.concatenate(texts)
     first = np.zeros(len(flat), bool)
     first[np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]] = True
     inputs = np.where(first, START, np.r_[START, flat[:-1]])
-    need = STREAMS * STEPS
-    copies = -(-need // len(flat))
-    flat, inputs = np.tile(flat, copies), np.tile(inputs, copies)
-    per = len(flat) // STREAMS
-    x, y = inputs[: per * STREAMS].reshape(STREAMS, per).T, flat[: per * STREAMS].reshape(STREAMS, per).T
+    streams = max(STREAMS, -(-len(flat) // (STEPS * steps)))
+    per = max(STEPS, -(-len(flat) // streams))
+    x, y = (np.resize(a, per * streams).reshape(streams, per).T for a in (inputs, flat))
+    for at in range(0, per, STEPS):
+        yield x[at : at + STEPS], y[at : at + STEPS]
+
+
+def train(w: Weights, texts: list[np.ndarray], steps: int, rate: float = 0.01) -> tuple[Weights, float]:
+    """``steps`` windows of Adam over the texts: at least one whole pass, then again from the start."""
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    h, at, loss = np.zeros((STREAMS, HIDDEN), np.float32), 0, 0.0
-    for step in range(1, steps + 1):
-        if at + STEPS > per:
-            h, at = np.zeros_like(h), 0
-        g, h, loss = _gradients(w, x[at : at + STEPS], y[at : at + STEPS], h)
-        at += STEPS
-        size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        clip = min(1.0, 1.0 / (size + 1e-9))
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * clip * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * (clip * g[k]) ** 2
-            w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+    step, loss, whole = 0, 0.0, False
+    while not whole or step < steps:
+        h = None
+        for x, y in windows(texts, steps):
+            if whole and step == steps:
+                break
+            step += 1
+            g, h, loss = _gradients(w, x, y, np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h)
+            size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            clip = min(1.0, 1.0 / (size + 1e-9))
+            for k in w:
+                m[k] = 0.9 * m[k] + 0.1 * clip * g[k]
+                v[k] = 0.99 * v[k] + 0.01 * (clip * g[k]) ** 2
+                w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+        whole = True
     return w, loss
 
 
@@ -308,7 +326,7 @@ def fitted(learn: DataFrame, n_docs: int, symbols: Symbols) -> Weights:
                 new, _ = train(w, [texts[i] for i in by], ROUND_STEPS, rate)
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([new[k].ravel() for k in sorted(new)]).tobytes()], pa.binary())], ["w"])
 
-        found = sample.repartition(shards, F.xxhash64("doc_id")).mapInArrow(run, "w binary").collect()  # at most MAX_SHARDS rows
+        found = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)) == round_).repartition(shards, F.xxhash64("doc_id")).mapInArrow(run, "w binary").collect()  # at most MAX_SHARDS rows
         if not found:
             break
         flat, at = np.mean([np.frombuffer(r["w"], np.float32) for r in found], axis=0), 0

@@ -41,3 +41,19 @@ def test_scores_of_null_empty_and_repeated_texts(spark):
     got = lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == 6 and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {1}
+
+
+def test_a_pass_reads_every_symbol():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 5_000, 300_000):
+        texts = [np.full(k, s % lm.START) for s, k in enumerate(rng.multinomial(n, [0.5, 0.3, 0.2]) + 1)]
+        parts = list(lm.windows(texts, lm.ROUND_STEPS))
+        assert len(parts) <= lm.ROUND_STEPS
+        x, y = (np.concatenate(c).T.ravel()[: n + 3] for c in zip(*parts, strict=True))
+        assert (y == np.concatenate(texts)).all() and (x == np.concatenate([np.r_[lm.START, t[:-1]] for t in texts])).all()
+
+
+def test_the_end_of_a_long_shard_is_learned_from():
+    """Beyond the first 80 x 32 of each of 64 streams of 200,000 symbols."""
+    a, b = (lm.train(lm.fresh(), [np.zeros(199_500, np.int64), np.full(500, k)], lm.ROUND_STEPS)[0] for k in (0, 5))
+    assert (a["cb"] != b["cb"]).any()
