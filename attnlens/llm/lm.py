@@ -10,9 +10,10 @@ probability.  The state is a gated recurrent unit's; it starts at zero with each
 window to the text's end, so a score is the whole text's.
 
 Training.  Truncated backpropagation through time over windows of STEPS tokens, Adam, in ``shards`` tasks at once; after each
-round the shards' weights are averaged.  A shard makes at least one whole pass over its texts: a longer one has more streams, a short one more
-passes, up to ROUND_STEPS windows.  Each round has other texts.  The number of shards follows the corpus up to MAX_SHARDS, each reading a
-hashed sample of about SHARD_DOCS training texts.
+round the shards' weights are averaged by their tokens, in a tree of sums of FAN.  All training texts are learned from: each is in one
+shard of one round, and there is a shard for every SHARD_TOKENS tokens of a round.  A shard makes at least one whole pass over
+its texts: a longer one has more streams, a short one more passes, up to ROUND_STEPS windows.  A shard beyond 2 SHARD_TOKENS (one row many
+times over) is learned from piece by piece.
 
 Defined cases: a null or empty text is its end alone; repeated rows get equal scores; an empty training set leaves the untrained
 model and counts of zero; an empty table gives no rows; other columns are ignored.
@@ -21,11 +22,12 @@ model and counts of zero; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ START = FREQUENT + SPELLING_CLASSES + 1
 TOP = 100_000
 HIDDEN = 24
 STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 80, 2
-SHARD_DOCS, DOCS_PER_SHARD, MIN_SHARDS, MAX_SHARDS = 500, 20_000, 4, 64
+#: Tokens of a shard, and weights added up in one place.
+SHARD_TOKENS, FAN = 500_000, 32
 #: Tokens that a task scores together, and words whose spelling it keeps.
 BUFFER, CACHE = 2_000_000, 300_000
 END = b" "
@@ -307,30 +310,58 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
 
 
-def fitted(learn: DataFrame, n_docs: int, symbols: Symbols) -> Weights:
-    """Weights after ROUNDS rounds of sharded training and averaging."""
+def averaged(parts: DataFrame, n: int) -> np.ndarray | None:
+    """The mean of the float32 vectors ``w`` of ``at, n, w``, weighted by ``n``; ``at`` is about 0 to n - 1.
+
+    Sums of FAN rows each, level by level, until the driver has at most about FAN; always in the order of ``at``."""
+
+    def whole(w: bytes, kind: type) -> np.ndarray:
+        return np.frombuffer(w, kind).astype(np.float64)
+
+    def adding(kind: type) -> Callable[[pa.Table], pa.Table]:
+        def add(part: pa.Table) -> pa.Table:
+            rows = sorted(zip(*(part.column(c).to_pylist() for c in ("at", "n", "w")), strict=True))
+            total = sum(whole(w, kind) * (k if kind is np.float32 else 1) for _, k, w in rows)
+            return pa.table({"at": pa.array([rows[0][0] // FAN], pa.int64()), "n": pa.array([sum(r[1] for r in rows)], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
+
+        return add
+
+    kind: type = np.float32
+    while kind is np.float32 or n > FAN:
+        parts = parts.groupBy(F.floor(F.col("at") / FAN).alias("by")).applyInArrow(adding(kind), "at bigint, n bigint, w binary")
+        kind, n = np.float64, -(-n // FAN)
+    found = sorted(parts.collect(), key=lambda r: r["at"])
+    return sum(whole(r["w"], kind) for r in found) / sum(r["n"] for r in found) if found else None
+
+
+def fitted(learn: DataFrame, n_tokens: int, symbols: Symbols) -> Weights:
+    """Weights after ROUNDS rounds of sharded training on all of ``learn`` and averaging."""
     spark = learn.sparkSession
-    shards = max(MIN_SHARDS, min(MAX_SHARDS, n_docs // DOCS_PER_SHARD))
-    rate = min(1.0, shards * SHARD_DOCS / max(1, n_docs))
-    sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("doc_id", "text")
+    shards = max(1, -(-n_tokens // (ROUNDS * SHARD_TOKENS)))
     w = fresh()
-    for round_ in range(ROUNDS if n_docs else 0):
+    for round_ in range(ROUNDS if n_tokens else 0):
         sent = spark.sparkContext.broadcast((w, symbols))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.01 / (1 + round_)) -> Iterator[pa.RecordBatch]:
             w, symbols = sent.value
-            rows = sorted((i or 0, t or "") for b in batches for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            if rows:
-                texts = [symbols.read(t, {})[0] for _, t in rows]
-                by = np.random.default_rng(len(texts)).permutation(len(texts))
-                new, _ = train(w, [texts[i] for i in by], ROUND_STEPS, rate)
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([new[k].ravel() for k in sorted(new)]).tobytes()], pa.binary())], ["w"])
-
-        found = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)) == round_).repartition(shards, F.xxhash64("doc_id")).mapInArrow(run, "w binary").collect()  # at most MAX_SHARDS rows
-        if not found:
-            break
-        flat, at = np.mean([np.frombuffer(r["w"], np.float32) for r in found], axis=0), 0
-        for k in sorted(w):
+            known: dict[bytes, int] = {}
+            texts, size, seen = [], 0, 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    texts.append(symbols.read(text, known)[0])
+                    size += len(texts[-1])
+                    if size >= 2 * SHARD_TOKENS:
+                        w, seen, texts, size = train(w, texts, ROUND_STEPS, rate)[0], seen + size, [], 0
+            if texts:  # what is left of a shard in pieces is read once
+                w, seen = train(w, texts, min(ROUND_STEPS, -(-size // (STEPS * STREAMS))) if seen else ROUND_STEPS, rate)[0], seen + size
+            if seen:
+                flat = np.concatenate([w[k].ravel() for k in sorted(w)]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat], pa.binary())], ["at", "n", "w"])
+
+        mixed = lambda k: F.xxhash64("doc_id", "text", F.lit(k))
+        dealt = learn.where(F.pmod(mixed(1), F.lit(ROUNDS)) == round_).select("doc_id", "text").repartition(shards, mixed(2)).sortWithinPartitions(mixed(3))
+        flat, at = averaged(dealt.select("text").mapInArrow(run, "at bigint, n bigint, w binary"), shards), 0
+        for k in sorted(w) if flat is not None else ():
             w[k], at = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32), at + w[k].size
     return w
 
@@ -350,7 +381,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_train, v_train = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
     symbols = Symbols(top, n_docs, spellings)
-    sent = spark.sparkContext.broadcast((fitted(learn, n_docs, symbols), symbols))
+    sent = spark.sparkContext.broadcast((fitted(learn, n_train, symbols), symbols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, symbols = sent.value
