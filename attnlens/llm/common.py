@@ -14,6 +14,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -79,3 +80,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: A key is hot if it has more than 1 / HOT_KEYS of the rows; fewer than HOT_KEYS keys can be.
+HOT_KEYS = 1000
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, members: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``: one row a key, with the number of ``rows`` that have it (at least) in ``members``; ``total`` is the number of ``rows``.
+
+    Hot keys are broadcast, fewer than HOT_KEYS rows whatever the size, so a key in a third of all rows stays spread over the
+    tasks; all other keys meet by a shuffle."""
+    limit = total // HOT_KEYS
+    hot, cold = keyed.where(F.col(members) > limit), keyed.where(F.col(members) <= limit)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))

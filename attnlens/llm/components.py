@@ -2,7 +2,8 @@
 
 Each round points every node at the smallest label around it (large star), then every node and its
 neighbours at the smallest of those (small star); the links shrink to stars in about log(diameter)
-rounds.  Links live in the shared folder between rounds; nothing but one count reaches the driver.
+rounds.  Links live in the shared folder between rounds; nothing but one count reaches the driver.  A node with a large share of
+all links (the hub of a star) is joined by broadcast, so its links stay spread over the tasks.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut
+from attnlens.llm.common import cut, split_join
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("degree"))
+    return split_join(both, low, "a", "degree", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    joined = down.join(low, "a")
+    low = down.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree"))
+    joined = split_join(down, low, "a", "degree", n)
     return joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
 
 
@@ -34,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     seen = _digest(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)).where("a > b").distinct())
+        # a large star makes no more rows than there are links
+        now = cut(_small_star(_large_star(now, seen[0]), seen[0]).where("a > b").distinct())
         before, seen = seen, _digest(now)
         if seen == before:
             break

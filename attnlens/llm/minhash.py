@@ -9,11 +9,13 @@ At a similarity of 0.8 two sets miss each other in every bucket with probability
 (1 - 0.8^5)^40 = 1.2e-7.  Documents of equal sets are one class from the start.  In each bucket the class
 with the smallest hash is the centre, every other class is linked to one centre (the smallest over its
 buckets), and links are confirmed on the full sets: at most one pair per class.  Buckets whose members are then in
-different components are settled exactly, so no link is lost to the choice of centres: small ones pair by pair, large ones
-by testing each family's strays against the whole family in blocks (``_families``).
+different components are settled exactly, so no link is lost to the choice of centres.  Small ones are tested pair by pair.  In large ones
+the members outside the bucket's main component (the strays) are tested against new centres from it, for CENTRES rounds; strays that
+are still apart are tested against all members of their buckets in blocks (``_settled``), and a block gives a spanning forest of what it finds.
 
-Defined cases: null or word-less texts have an empty set, are linked with nothing and kept, as are rows with a null id; repeated
-rows and ties get equal results; empty tables give no rows; other columns are ignored (``drop_near_duplicates`` keeps them).
+Defined cases: null or word-less texts have an empty set, are linked with nothing and kept, as are rows with a null id; rows of one id
+are one document, linked where one of its texts is; repeated rows and ties get equal results; empty tables give no rows; other columns
+are ignored (``drop_near_duplicates`` keeps them).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, release, small, space_words
+from attnlens.llm.common import HOT_KEYS, cut, release, small, space_words, split_join
 from attnlens.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -35,10 +37,12 @@ BINS = BANDS * ROWS
 PERCENT = 80
 #: Ids of the classes under test are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Buckets of up to so many members test their open pairs one by one.
-FEW = 8
-#: Sets in a block, and shingles in a slice, of the tests inside a family.
-BLOCK, COLUMNS = 256, 16_384
+#: Buckets of up to so many members test their open pairs one by one; larger ones try so many rounds of new centres first.
+FEW, CENTRES = 8, 3
+#: Sets and shingles of a block, and shingles of a slice of it.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 16_384
+#: Parts of the pairs of one hot centre.
+PARTS = 32
 #: Words whose hashes a worker keeps.
 CACHE = 500_000
 
@@ -134,7 +138,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """``node, shingles`` of the documents whose ids are in ``wanted`` (node)."""
+    """``node, shingles`` of the documents whose ids are in ``wanted`` (node); equal sets of one id once."""
     ids = wanted.select(F.col("node").alias("doc_id"))
     ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
@@ -145,21 +149,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
             sets = [shingler(v) for v in batch.column(1).to_pylist()]
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             ends = np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "digest", "shingles"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return picked.mapInArrow(shingle, f"node {kind}, shingles array<bigint>").dropDuplicates(["node"])
+    return picked.mapInArrow(shingle, f"node {kind}, digest binary, shingles array<bigint>").dropDuplicates(["node", "digest"]).drop("digest")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough.  The pairs of a hot ``b`` are dealt over PARTS copies of its set."""
     nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     sets = _sets(docs, nodes, width, doc_id, text)
+    limit = pairs.count() // HOT_KEYS
+    hot = F.broadcast(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("b", F.lit(PARTS).alias("parts")))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.lit(PARTS))).cast("int")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    right = (sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left")
+             .select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")))
     both = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(right, "b").join(left, "a")
-            .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    return (pairs.join(hot, "b", "left").select("a", "b", part.alias("part")).join(right, ["b", "part"]).join(left, "a")
+            .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,96 +181,134 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
     rows = rows.select("node", "n", F.xxhash64("band", "value").alias("bucket"), F.xxhash64("node").alias("order"))
     heads = (rows.groupBy("bucket").agg(F.min(F.struct("order", "node", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
              .where("members > 1"))
-    members = cut(rows.join(heads.select("bucket", "centre"), "bucket"))
+    members = cut(split_join(rows.drop("order"), heads, "bucket", "members", classes.count() * BANDS))
     alike = f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)"
     pairs = (members.where("node != centre.node").where(alike).groupBy("node").agg(F.min("centre").alias("centre"))
              .select(F.col("node").alias("a"), F.col("centre.node").alias("b")))
-    links = cut(confirmed(cut(pairs), docs, width, percent, doc_id, text))
-    merged = components(links)
-    # what the centres left open: buckets whose members are in different components
-    members = members.drop("centre")
-    labelled = members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                            F.count(F.lit(1)).alias("members"), F.min("node").alias("head"))
-             .where("low != high").select("bucket", "members", "head"))
-    open_ = cut(labelled.join(mixed, "bucket"))
-    few = open_.where(F.col("members") <= FEW).select("bucket", "node", "n", "component")
-    other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = (few.join(other, "bucket").where("node > b and component != other")
-             .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("node").alias("a"), "b").distinct())
-    pairs, families = cut(pairs), open_.where(F.col("members") > FEW)
-    found = []
-    if pairs.limit(1).count():
-        found.append(confirmed(pairs, docs, width, percent, doc_id, text))
-    if families.limit(1).count():
-        found.append(_families(families, docs, width, percent, doc_id, text))
-    if found:
-        for more in found:
-            links = links.unionByName(more)
-        merged = components(links)
+    merged = components(confirmed(cut(pairs), docs, width, percent, doc_id, text))
+    members, test = members.drop("centre"), lambda pairs: confirmed(pairs, docs, width, percent, doc_id, text)
+    n_members = members.count()
+
+    def joined(links: DataFrame) -> DataFrame:
+        return components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    for round_ in range(CENTRES):
+        apart = cut(_apart(members, merged, n_members, round_))
+        pairs = (apart.where(F.col("members") > FEW).where("component != main.component").where(f"100 * least(n, main.n) >= {percent} * greatest(n, main.n)")
+                 .select(F.col("node").alias("a"), F.col("main.node").alias("b")))
+        if not round_:  # small buckets are settled at once
+            few = apart.where(F.col("members") <= FEW).select("bucket", "node", "n", "component")
+            other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            pairs = pairs.unionByName(few.join(other, "bucket").where("node > b and component != other")
+                                      .where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("node").alias("a"), "b"))
+            members = members.where(F.col("members") > FEW)
+        pairs = cut(pairs.distinct())
+        if pairs.limit(1).count():
+            merged = joined(test(pairs))
+    apart = cut(_apart(members, merged, n_members, CENTRES))
+    if apart.limit(1).count():
+        merged = joined(_settled(apart, docs, width, percent, doc_id, text))
     labels = classes.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("copies > 1 or component is not null")
-    labels = labels.select("digest", F.coalesce("component", "doc_id").alias("component"))
+    labels = labels.select("digest", "copies", F.coalesce("component", "doc_id").alias("component"))
+    sets = signed.where("digest is not null")
+    found = split_join(sets, labels, "digest", "copies", signed.count(), "left").select("doc_id", "n_shingles", "component")
+    found = found.unionByName(signed.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast(docs.schema[doc_id].dataType).alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def _families(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Links across components inside families: nodes that buckets of more than FEW members hold together.
+def _apart(members: DataFrame, merged: DataFrame, total: int, seed: int) -> DataFrame:
+    """``members`` of buckets with more than one component, with their ``component`` and the bucket's ``main``: its largest component there and one
+    member of it (``node, n``), drawn by ``seed``."""
+    rows = members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), "node", "n")).alias("one"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "component", "one.node", "one.n")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"))
+    return split_join(rows, mixed.where("parts > 1").select("bucket", "main", "all"), "bucket", "all", total).drop("all")
 
-    A family has one large component and some strays.  Strays are tested against all of the family, block
-    against block of at most about BLOCK sets each, so no task holds a family and no pair is a row.
+
+def _settled(apart: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links across components inside the buckets of ``apart`` (of ``_apart``).
+
+    Buckets of one main component go together.  Their strays are tested against all their members, block against block of
+    bounded size, so no task holds a component and no pair is a row: a block gives at most one link less than it has sets.
     """
-    family = components(rows.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    nodes = rows.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node", "left")
-    nodes = nodes.withColumn("family", F.coalesce("family", "node"))
-    parts = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("nodes"))
-    main = main.select("family", F.col("main.component").alias("main"), F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"),
-                       F.ceil((F.col("nodes") - F.col("main.size")) / BLOCK).cast("int").alias("stray_blocks"))
-    nodes = cut(nodes.join(main, "family").where("stray_blocks > 0"))
-    nodes = nodes.join(_sets(docs, nodes.select("node"), width, doc_id, text), "node")
+    nodes = cut(apart.select(F.col("main.component").alias("main"), "node", "n", "component").distinct())
+    stray = F.col("component") != F.col("main")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    sizes = nodes.groupBy("main").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.count(F.lit(1)).alias("nodes"),
+                                      parts(F.sum(stray.cast("long")), F.sum(F.when(stray, F.col("n")).otherwise(0))).alias("stray_blocks"))
+    dealt = split_join(nodes, sizes, "main", "nodes", nodes.count()).drop("nodes", "n")
+    dealt = dealt.join(_sets(docs, nodes.select("node").distinct(), width, doc_id, text), "node")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     at_stray = F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).cast("int")
-    columns = ["family", "node", "component", "shingles"]
-    whole = nodes.select(*columns, at.alias("block"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("stray_block"), F.lit(False).alias("stray"))
-    strays = nodes.where("component != main").select(
+    columns = ["main", "node", "component", "shingles"]
+    whole = dealt.select(*columns, at.alias("block"), F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("stray_block"), F.lit(False).alias("stray"))
+    strays = dealt.where(stray).select(
         *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), at_stray.alias("stray_block"), F.lit(True).alias("stray"))
-    kind = rows.schema["node"].dataType.simpleString()
+    kind = apart.schema["node"].dataType.simpleString()
 
     def links(part: pa.Table) -> pa.Table:
         stray = part.column("stray").to_numpy(zero_copy_only=False)
-        node, component = part.column("node").to_numpy(), part.column("component").to_numpy()
+        node = part.column("node").to_numpy()
+        component = np.unique(part.column("component").to_numpy(), return_inverse=True)[1]
         lists = part.column("shingles").combine_chunks()
         flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        owner = np.repeat(np.arange(len(node)), sizes)
-        # shingles that no stray has cannot be shared with one
-        column = np.unique(flat[stray[owner]])
-        place = np.minimum(np.searchsorted(column, flat), max(0, len(column) - 1))
-        held = column[place] == flat if len(column) else np.zeros(len(flat), bool)
         x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
-        both = np.zeros((len(x), len(y)), np.float32)
-        row_of = np.zeros(len(node), np.int64)
-        row_of[x], row_of[y] = np.arange(len(x)), np.arange(len(y))
-        for low in range(0, len(column), COLUMNS):
-            use = held & (place >= low) & (place < low + COLUMNS)
-            a = np.zeros((len(x), min(COLUMNS, len(column) - low)), np.float32)
-            b = np.zeros((len(y), a.shape[1]), np.float32)
-            of = use & stray[owner]
-            a[row_of[owner[of]], place[of] - low] = 1
-            of = use & ~stray[owner]
-            b[row_of[owner[of]], place[of] - low] = 1
-            both += a @ b.T
+        both = _shared(flat, sizes, x, y)
         near = 100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
         i, j = np.nonzero(near & (component[x][:, None] != component[y][None, :]))
-        # one link of a stray to each component is enough
-        _, first = np.unique(np.stack([x[i], component[y[j]]], 1), axis=0, return_index=True)
-        return pa.table({"a": node[x[i[first]]], "b": node[y[j[first]]]})
-
-    both = whole.unionByName(strays)
-    return both.groupBy("family", "block", "stray_block").applyInArrow(links, f"a {kind}, b {kind}")
+        keep = spanning(component[x[i]], component[y[j]])
+        return pa.table({"a": node[x[i[keep]]], "b": node[y[j[keep]]]})
+
+    return whole.unionByName(strays).groupBy("main", "block", "stray_block").applyInArrow(links, f"a {kind}, b {kind}")
+
+
+def _shared(flat: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of elements that set x[i] and set y[j] have in common; the sets of ``sizes`` elements lie end to end in ``flat``."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    row_of, of_x = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+    row_of[x], row_of[y], of_x[x] = np.arange(len(x)), np.arange(len(y)), True
+    column = np.unique(flat[of_x[owner]])  # what no x has cannot be shared with one
+    place = np.minimum(np.searchsorted(column, flat), max(0, len(column) - 1))
+    held = column[place] == flat if len(column) else np.zeros(len(flat), bool)
+    both = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(column), COLUMNS):
+        use = held & (place >= low) & (place < low + COLUMNS)
+        a = np.zeros((len(x), min(COLUMNS, len(column) - low)), np.float32)
+        b = np.zeros((len(y), a.shape[1]), np.float32)
+        for rows, of in ((a, use & of_x[owner]), (b, use & ~of_x[owner])):
+            rows[row_of[owner[of]], place[of] - low] = 1
+        both += a @ b.T
+    return both
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links a[k] - b[k] that connect all that the links connect, none more than needed."""
+    above: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := above.get(v, v)) != v:
+            above[v] = v = above.get(up, up)
+        return v
+
+    out = []
+    _, first = np.unique(np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b), return_index=True)
+    for k in first.tolist():
+        u, v = root(int(a[k])), root(int(b[k]))
+        if u != v:
+            above[u] = v
+            out.append(k)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that are not the smallest id of their component; all columns stay."""
-    gone = near_duplicates(docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that are not the smallest id of their component; of several rows with that id one stays, the smallest by a hash of
+    its columns.  Rows with a null id stay; so do all columns."""
+    near = cut(near_duplicates(docs, width, percent, doc_id, text))
+    gone = near.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    again = cut(near.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(doc_id))
+    if small(again, 0):
+        return left
+    one = left.join(again, doc_id, "left_semi").groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one")).select("one.*")
+    return left.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(one)

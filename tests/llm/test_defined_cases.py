@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from attnlens.llm import decontam, linededup, minhash, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, found string, removed string, score double, shard int"
@@ -65,11 +67,54 @@ def test_near_dedup_matches_brute_force(spark):
         assert [r[2:] for r in got if r[0] is None] == [(None, True)] * 2
     kept = minhash.drop_near_duplicates(docs, 5)
     assert kept.columns == docs.columns
-    want = Counter(r[0] for r in components(rows, 5) if r[3]) + Counter({None: 2})
+    want = Counter({r[0] for r in components(rows, 5) if r[3]}) + Counter({None: 2})
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert minhash.near_duplicates(table(spark, []), 2).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = table(spark, [(1, a, "s"), (2, b, "s"), (2, a + " end", "s"), (3, b + " end", "t")])
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False)}
+    assert [r.doc_id for r in minhash.drop_near_duplicates(docs, 2).collect()] == [1]
+    twice = table(spark, [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, "other words", "s")])
+    assert sorted(r.doc_id for r in minhash.drop_near_duplicates(twice, 2).collect()) == [1, 2]
+
+
+def test_families_of_strays_match_brute_force(spark):
+    """Two thousand texts around one, most of them too far from any centre, and alike strays among them."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(1000):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((3, 7, 9, 10, 11, 12))):
+            words[at] = f"r{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+        words[rng.randrange(120)] = f"r{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    shingler = minhash.Shingler(2)
+    sets = [shingler(t) for t in texts]
+    place = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [place[h] for h in s.tolist()]] = 1
+    both, size = held @ held.T, held.sum(1)
+    near = 100 * both >= 80 * (size[:, None] + size - both)
+    want = np.arange(len(texts))
+    while (low := np.where(near, want[None, :], len(texts)).min(1)).tolist() != want.tolist():
+        want = low
+    got = minhash.near_duplicates(table(spark, [(k, t, "s") for k, t in enumerate(texts)]).repartition(4), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want.tolist()))
+    assert 1 < len(set(want.tolist())) < len(texts)
+
+
+def test_blocks_give_spanning_forests(monkeypatch):
+    a, b = np.array([0, 0, 1, 2, 5, 1]), np.array([1, 2, 2, 0, 6, 0])
+    assert len(minhash.spanning(a, b)) == 3 and minhash.spanning(a[:0], b[:0]) == []
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     plain = lambda: " ".join(f"word{rng.randrange(200)}" for _ in range(30))
