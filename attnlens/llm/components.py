@@ -2,8 +2,8 @@
 
 Each round points every node at the smallest label around it (large star), then every node and its
 neighbours at the smallest of those (small star); the links shrink to stars in about log(diameter)
-rounds.  Links live in the shared folder between rounds; nothing but one count reaches the driver.  A node with a large share of
-all links (the hub of a star) is joined by broadcast, so its links stay spread over the tasks.
+rounds.  Links live in the shared folder between rounds; the driver sees whether all are stars, and the hubs: nodes with
+so large a share of the links that fewer than HOT_KEYS can be.  Hubs are joined by broadcast, so their links stay spread over the tasks.
 """
 
 from __future__ import annotations
@@ -11,19 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, split_join
+from attnlens.llm.common import HOT_KEYS, cut
 
+#: A node of fewer links is no hub.
+LEAST_HUB = 1000
 
-def _large_star(links: DataFrame, n: int) -> DataFrame:
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("degree"))
-    return split_join(both, low, "a", "degree", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
+def _around(links: DataFrame) -> DataFrame:
+    """``a, low, degree``: the smallest of each node and its neighbours, and how many those are."""
+    return _both(links).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("degree"))
 
-def _small_star(links: DataFrame, n: int) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree"))
-    joined = split_join(down, low, "a", "degree", n)
+
+def _both(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(links: DataFrame, around: DataFrame) -> DataFrame:
+    n = (around.agg(F.sum("degree")).first()[0] or 0) // 2
+    hubs = around.where(F.col("degree") > max(LEAST_HUB, 2 * n // HOT_KEYS)).select("a", "low").collect()
+    both, low = _both(links).where("b > a"), around.select("a", "low")
+    if hubs:
+        hot = F.broadcast(links.sparkSession.createDataFrame(hubs, low.schema))
+        joined = both.join(hot, "a").unionByName(both.join(hot, "a", "left_anti").join(low, "a"))
+    else:
+        joined = both.join(low, "a")
+    return joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """``links`` has a > b: after a large star a node has few links down."""
+    low = links.groupBy("a").agg(F.min("b").alias("low"))
+    joined = links.join(low, "a")
     return joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
 
 
@@ -33,16 +51,9 @@ def components(links: DataFrame) -> DataFrame:
     Self links and repeated links do not matter; null ends are left out; no links give no rows.
     """
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    seen = _digest(now)
-    while seen[0]:
-        # a large star makes no more rows than there are links
-        now = cut(_small_star(_large_star(now, seen[0]), seen[0]).where("a > b").distinct())
-        before, seen = seen, _digest(now)
-        if seen == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-def _digest(links: DataFrame) -> tuple:
-    """Count and two order-free hashes of the rows: equal for equal tables, without a join of the two."""
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+    while True:
+        around = cut(_around(now))
+        # stars: every node is the smallest around it or has one link
+        if not around.where("low < a and degree > 1").limit(1).count():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now = cut(_small_star(_large_star(now, around).where("a > b")).where("a > b").distinct())

@@ -7,10 +7,10 @@ non-empty ones.  ROWS bins in a row make one of BANDS bucket keys.
 
 At a similarity of 0.8 two sets miss each other in every bucket with probability
 (1 - 0.8^5)^40 = 1.2e-7.  Documents of equal sets are one class from the start.  In each bucket the class
-with the smallest hash is the centre, every other class is linked to one centre (the smallest over its
+with the smallest id is the centre, every other class is linked to one centre (the smallest over its
 buckets), and links are confirmed on the full sets: at most one pair per class.  Buckets whose members are then in
 different components are settled exactly, so no link is lost to the choice of centres.  Small ones are tested pair by pair.  In large ones
-the members outside the bucket's main component (the strays) are tested against new centres from it, for CENTRES rounds; strays that
+the members outside the bucket's main component (the strays) are tested against CENTRES new centres from it; strays that
 are still apart are tested against all members of their buckets in blocks (``_settled``), and a block gives a spanning forest of what it finds.
 
 Defined cases: null or word-less texts have an empty set, are linked with nothing and kept, as are rows with a null id; rows of one id
@@ -37,7 +37,7 @@ BINS = BANDS * ROWS
 PERCENT = 80
 #: Ids of the classes under test are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Buckets of up to so many members test their open pairs one by one; larger ones try so many rounds of new centres first.
+#: Buckets of up to so many members test their open pairs one by one; larger ones try so many new centres first.
 FEW, CENTRES = 8, 3
 #: Sets and shingles of a block, and shingles of a slice of it.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 16_384
@@ -178,36 +178,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
                .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"), F.count(F.lit(1)).alias("copies")))
     classes = cut(classes.select("digest", "first.*", "copies"))
     rows = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
-    rows = rows.select("node", "n", F.xxhash64("band", "value").alias("bucket"), F.xxhash64("node").alias("order"))
-    heads = (rows.groupBy("bucket").agg(F.min(F.struct("order", "node", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
-             .where("members > 1"))
-    members = cut(split_join(rows.drop("order"), heads, "bucket", "members", classes.count() * BANDS))
-    alike = f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)"
-    pairs = (members.where("node != centre.node").where(alike).groupBy("node").agg(F.min("centre").alias("centre"))
-             .select(F.col("node").alias("a"), F.col("centre.node").alias("b")))
+    rows = rows.select("node", "n", F.xxhash64("band", "value").alias("bucket"))
+    heads = (rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("size"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    members = cut(split_join(rows, heads, "bucket", "members", classes.count() * BANDS))
+    alike = lambda n, m: f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+    pairs = members.where("node != centre").where(alike("n", "size")).groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
     merged = components(confirmed(cut(pairs), docs, width, percent, doc_id, text))
-    members, test = members.drop("centre"), lambda pairs: confirmed(pairs, docs, width, percent, doc_id, text)
     n_members = members.count()
-
-    def joined(links: DataFrame) -> DataFrame:
-        return components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-
-    for round_ in range(CENTRES):
-        apart = cut(_apart(members, merged, n_members, round_))
-        pairs = (apart.where(F.col("members") > FEW).where("component != main.component").where(f"100 * least(n, main.n) >= {percent} * greatest(n, main.n)")
-                 .select(F.col("node").alias("a"), F.col("main.node").alias("b")))
-        if not round_:  # small buckets are settled at once
-            few = apart.where(F.col("members") <= FEW).select("bucket", "node", "n", "component")
-            other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = pairs.unionByName(few.join(other, "bucket").where("node > b and component != other")
-                                      .where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("node").alias("a"), "b"))
-            members = members.where(F.col("members") > FEW)
-        pairs = cut(pairs.distinct())
-        if pairs.limit(1).count():
-            merged = joined(test(pairs))
-    apart = cut(_apart(members, merged, n_members, CENTRES))
-    if apart.limit(1).count():
-        merged = joined(_settled(apart, docs, width, percent, doc_id, text))
+    open_ = _apart(members.select("bucket", "node", "n"), merged, n_members)
+    few = open_.where(F.col("members") <= FEW).drop("members")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = few.join(other, "bucket").where("node > b and component != other").where(alike("n", "m")).select(F.col("node").alias("a"), "b")
+    large = open_.where(F.col("members") > FEW)
+    pairs = cut(pairs.unionByName(_with_main(large, n_members).where("component != main").select("node", "n", F.explode("centres").alias("to"))
+                                  .where(alike("n", "to.n")).select(F.col("node").alias("a"), F.col("to.node").alias("b"))).distinct())
+    if pairs.limit(1).count():
+        joined = lambda links: components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        merged = joined(confirmed(pairs, docs, width, percent, doc_id, text))
+        apart = _apart(large.select("bucket", "node", "n"), merged, n_members)
+        if apart.limit(1).count():
+            merged = joined(_settled(_with_main(apart, n_members), docs, width, percent, doc_id, text))
     labels = classes.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").where("copies > 1 or component is not null")
     labels = labels.select("digest", "copies", F.coalesce("component", "doc_id").alias("component"))
     sets = signed.where("digest is not null")
@@ -217,22 +207,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def _apart(members: DataFrame, merged: DataFrame, total: int, seed: int) -> DataFrame:
-    """``members`` of buckets with more than one component, with their ``component`` and the bucket's ``main``: its largest component there and one
-    member of it (``node, n``), drawn by ``seed``."""
+def _apart(members: DataFrame, merged: DataFrame, total: int) -> DataFrame:
+    """The ``members`` (bucket, node, n) of buckets with more than one component, with ``component`` and the bucket's number of ``members``."""
     rows = members.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("o"), "node", "n")).alias("one"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "component", "one.node", "one.n")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"))
-    return split_join(rows, mixed.where("parts > 1").select("bucket", "main", "all"), "bucket", "all", total).drop("all")
+    mixed = (rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+             .where("low != high").select("bucket", "members"))
+    return cut(split_join(rows, mixed, "bucket", "members", total))
+
+
+def _with_main(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` of ``_apart`` with their bucket's ``main``, the largest component in it, and ``centres``: CENTRES draws of a member of that (node, n)."""
+    drawn = [F.xxhash64("node", F.lit(k)) for k in range(CENTRES)]
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), *(F.min_by(v, x).alias(f"{v}{k}") for k, x in enumerate(drawn) for v in ("node", "n")))
+    centres = F.array(*(F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n")) for k in range(CENTRES)))
+    largest = parts.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component", centres.alias("centres"))).alias("top"))
+    return split_join(rows, largest.select("bucket", "all", F.col("top.component").alias("main"), F.col("top.centres").alias("centres")), "bucket", "all", total)
 
 
 def _settled(apart: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Links across components inside the buckets of ``apart`` (of ``_apart``).
+    """Links across components inside the buckets of ``apart`` (of ``_with_main``).
 
     Buckets of one main component go together.  Their strays are tested against all their members, block against block of
     bounded size, so no task holds a component and no pair is a row: a block gives at most one link less than it has sets.
     """
-    nodes = cut(apart.select(F.col("main.component").alias("main"), "node", "n", "component").distinct())
+    nodes = cut(apart.select("main", "node", "n", "component").distinct())
     stray = F.col("component") != F.col("main")
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
     sizes = nodes.groupBy("main").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.count(F.lit(1)).alias("nodes"),
