@@ -10,7 +10,7 @@ At a similarity of 0.8 two sets miss each other in every bucket with probability
 with the smallest id is the centre, every other class is linked to one centre (the smallest over its
 buckets), and links are confirmed on the full sets: at most one pair per class.  Buckets whose members are then in
 different components are settled exactly, so no link is lost to the choice of centres.  Small ones are tested pair by pair.  In large ones
-the members outside the bucket's main component (the strays) are tested against CENTRES new centres from it; strays that
+the members outside the bucket's main component (the strays) are tested against up to CENTRES new centres from it; strays that
 are still apart are tested against all members of their buckets in blocks (``_settled``), and a block gives a spanning forest of what it finds.
 
 Defined cases: null or word-less texts have an empty set, are linked with nothing and kept, as are rows with a null id; rows of one id
@@ -38,7 +38,7 @@ PERCENT = 80
 #: Ids of the classes under test are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Buckets of up to so many members test their open pairs one by one; larger ones try so many new centres first.
-FEW, CENTRES = 8, 3
+FEW, CENTRES = 8, 8
 #: Sets and shingles of a block, and shingles of a slice of it.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 16_384
 #: Parts of the pairs of one hot centre.
@@ -138,33 +138,35 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """``node, shingles`` of the documents whose ids are in ``wanted`` (node); equal sets of one id once."""
-    ids = wanted.select(F.col("node").alias("doc_id"))
+    """``node, flag, shingles`` of the documents whose ids are in ``wanted`` (node, flag), dealt by ``node``; equal sets of one id once."""
+    ids = wanted.select(F.col("node").alias("doc_id"), "flag")
     ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id").select("doc_id", "flag", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler(v) for v in batch.column(1).to_pylist()]
+            sets = [shingler(v) for v in batch.column(2).to_pylist()]
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             ends = np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)].astype(np.int32)
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                             ["node", "flag", "digest", "shingles"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return picked.mapInArrow(shingle, f"node {kind}, digest binary, shingles array<bigint>").dropDuplicates(["node", "digest"]).drop("digest")
+    return (picked.mapInArrow(shingle, f"node {kind}, flag int, digest binary, shingles array<bigint>")
+            .repartition("node").dropDuplicates(["node", "digest"]).drop("digest"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  The pairs of a hot ``b`` are dealt over PARTS copies of its set."""
-    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = _sets(docs, nodes, width, doc_id, text)
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("flag")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(2).alias("flag")))
+    sets = _sets(docs, cut(ends.groupBy("node").agg(F.bit_or("flag").alias("flag"))), width, doc_id, text)
     limit = pairs.count() // HOT_KEYS
     hot = F.broadcast(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("b", F.lit(PARTS).alias("parts")))
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.lit(PARTS))).cast("int")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = (sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left")
+    left = sets.where("flag != 2").select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = (sets.where("flag != 1").select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left")
              .select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")))
     both = F.size(F.array_intersect("x", "y"))
     return (pairs.join(hot, "b", "left").select("a", "b", part.alias("part")).join(right, ["b", "part"]).join(left, "a")
@@ -179,19 +181,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
     classes = cut(classes.select("digest", "first.*", "copies"))
     rows = classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
     rows = rows.select("node", "n", F.xxhash64("band", "value").alias("bucket"))
-    heads = (rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("size"), F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = cut(split_join(rows, heads, "bucket", "members", classes.count() * BANDS))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut(split_join(rows, shared, "bucket", "members", classes.count() * BANDS))
+    n_members = members.count()
+    heads = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("size"), F.count(F.lit(1)).alias("all"))
     alike = lambda n, m: f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-    pairs = members.where("node != centre").where(alike("n", "size")).groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
+    pairs = split_join(members, heads, "bucket", "all", n_members).where("node != centre").where(alike("n", "size")).groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
     merged = components(confirmed(cut(pairs), docs, width, percent, doc_id, text))
-    n_members = members.count()
     open_ = _apart(members.select("bucket", "node", "n"), merged, n_members)
     few = open_.where(F.col("members") <= FEW).drop("members")
     other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     pairs = few.join(other, "bucket").where("node > b and component != other").where(alike("n", "m")).select(F.col("node").alias("a"), "b")
     large = open_.where(F.col("members") > FEW)
-    pairs = cut(pairs.unionByName(_with_main(large, n_members).where("component != main").select("node", "n", F.explode("centres").alias("to"))
-                                  .where(alike("n", "to.n")).select(F.col("node").alias("a"), F.col("to.node").alias("b"))).distinct())
+    near = _with_main(large, n_members).where("component != main").where(alike("n", "size")).groupBy(F.col("node").alias("a")).agg(F.collect_set("centre").alias("to"))
+    pairs = cut(pairs.unionByName(near.select("a", F.explode(F.slice(F.array_sort("to"), 1, CENTRES)).alias("b"))).distinct())
     if pairs.limit(1).count():
         joined = lambda links: components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
         merged = joined(confirmed(pairs, docs, width, percent, doc_id, text))
@@ -216,12 +219,11 @@ def _apart(members: DataFrame, merged: DataFrame, total: int) -> DataFrame:
 
 
 def _with_main(rows: DataFrame, total: int) -> DataFrame:
-    """``rows`` of ``_apart`` with their bucket's ``main``, the largest component in it, and ``centres``: CENTRES draws of a member of that (node, n)."""
-    drawn = [F.xxhash64("node", F.lit(k)) for k in range(CENTRES)]
-    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), *(F.min_by(v, x).alias(f"{v}{k}") for k, x in enumerate(drawn) for v in ("node", "n")))
-    centres = F.array(*(F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n")) for k in range(CENTRES)))
-    largest = parts.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component", centres.alias("centres"))).alias("top"))
-    return split_join(rows, largest.select("bucket", "all", F.col("top.component").alias("main"), F.col("top.centres").alias("centres")), "bucket", "all", total)
+    """``rows`` of ``_apart`` with their bucket's ``main``, the largest component in it, and a ``centre`` of ``size`` shingles drawn from that."""
+    drawn = F.xxhash64("node", "bucket")
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", drawn).alias("centre"), F.min_by("n", drawn).alias("size"))
+    largest = parts.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component", "centre", "size")).alias("top"))
+    return split_join(rows, largest.select("bucket", "all", F.col("top.component").alias("main"), "top.centre", "top.size"), "bucket", "all", total)
 
 
 def _settled(apart: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -236,7 +238,7 @@ def _settled(apart: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
     sizes = nodes.groupBy("main").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.count(F.lit(1)).alias("nodes"),
                                       parts(F.sum(stray.cast("long")), F.sum(F.when(stray, F.col("n")).otherwise(0))).alias("stray_blocks"))
     dealt = split_join(nodes, sizes, "main", "nodes", nodes.count()).drop("nodes", "n")
-    dealt = dealt.join(_sets(docs, nodes.select("node").distinct(), width, doc_id, text), "node")
+    dealt = dealt.join(_sets(docs, nodes.select("node", F.lit(0).alias("flag")).distinct(), width, doc_id, text), "node")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     at_stray = F.pmod(F.xxhash64("node", F.lit(1)), F.col("stray_blocks")).cast("int")
     columns = ["main", "node", "component", "shingles"]
