@@ -10,9 +10,10 @@ have bytes of 0x80 and above, which neither rule treats as a separator.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +38,10 @@ def space_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
-#: What an operator keeps in a Python worker from task to task: one entry at most.
-_KEPT: dict[object, Any] = {}
-
-
-def kept(key: object, make: Callable[[], Any]) -> Any:
-    """``make()``, kept for later tasks of this Python worker until an operator keeps or releases something else."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
-def release() -> None:
-    """Drops what an earlier operator kept in this Python worker; called by tasks that keep nothing themselves."""
-    _KEPT.clear()
+def sliced(column: pa.Array, rows: int = 256) -> Iterator[Any]:
+    """The values of an Arrow column, a few as Python objects at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import HOT_KEYS, cut, release, small, space_words, split_join
+from attnlens.llm.common import HOT_KEYS, cut, sliced, small, space_words, split_join
 from attnlens.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -44,7 +44,7 @@ BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 16_384
 #: Parts of the pairs of one hot centre.
 PARTS = 32
 #: Words whose hashes a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,11 +120,10 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
     """``doc_id, n_shingles, digest`` (of the set) and ``bands`` (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         shingler = Shingler(width)
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for value in batch.column(1).to_pylist():
+            for value in sliced(batch.column(1)):
                 s = shingler(value)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -146,7 +145,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler(v) for v in batch.column(2).to_pylist()]
+            sets = [shingler(v) for v in sliced(batch.column(2))]
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             ends = np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)].astype(np.int32)
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())

@@ -7,8 +7,9 @@ open bins with gap g: into an open bin of gap g (if the piece fits), or into a n
 Pieces are dealt by a hash into groups of about ``group_pieces`` and each group is packed by itself, so a task holds one bounded group (three integers a piece) and the bins lost at
 a group's end are few beside its thousands.  Full pieces fill a sequence each and are not packed.
 
-Tokens: words between white space are encoded once per worker and their ids kept as bytes, as the tokenizer never
-joins across white space; texts that hold one of its special strings are encoded whole.
+Tokens: texts are encoded in groups of about GROUP_CHARS characters.  The distinct words between white space of a group are encoded at once,
+as the tokenizer never joins across white space; the ids of at most CACHE words and a group's own are kept until the task ends.  Texts
+that hold one of its special strings are encoded whole.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed as rows of their own; an empty table
 gives no rows; other columns are ignored.
@@ -17,20 +18,23 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, kept
+from attnlens.llm.common import cut, sliced
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
-#: Words whose ids a worker keeps.
-CACHE = 1_800_000
+#: Characters of texts that are encoded together, words of a part of a longer text, and words whose ids a task keeps.
+GROUP_CHARS, PART_WORDS, CACHE = 4_000_000, 500_000, 150_000
 END = bytes(4)
+#: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
+BY_CONTEXT = frozenset("\u0130\u03a3")
 
 
 class WordTokens:
@@ -46,69 +50,79 @@ class WordTokens:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words.  Letters, then end marks: both parts are tokens of their own to the tokenizer,
-        which also lowers letters, so a word of letters is encoded once for all its cases and end marks."""
-        if len(self.known) + 2 * len(words) > CACHE:
-            self.known.clear()
-        split, letters, other = [], {}, []
-        for word in words:
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Ids of new lower-case words.  Letters, then end marks: both parts are tokens of their own to the tokenizer, so a word of letters is encoded
+        once for all its end marks, together with many others."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        letters, marked, other = set(), [], []
+        for word in set(words).difference(known):
             core = word.rstrip(b".,;:!?")
-            low = core.decode().lower()
-            if low.isalpha():
-                split.append((word, low, word[len(core) :]))
-                letters[low] = low.encode()
+            if core.isalpha() or core.decode("utf-8", "surrogatepass").isalpha():
+                if core not in known:
+                    letters.add(core)
+                if len(core) < len(word):
+                    marked.append((word, core, word[len(core) :]))
             else:
                 other.append(word)
-        known = self.known
-        new = [low for low, key in letters.items() if key not in known]
+        new = list(letters)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(part) + 1))
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            of, raw = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
             if len(of) and of[-1] != len(part) - 1:
                 raise ValueError("the tokenizer does not keep a word of letters together")
-            for low, b, e in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                known[letters[low]] = ids[b:e].tobytes()
-        for mark in {tail for _, _, tail in split if tail}:
-            if mark not in known:
-                known[mark] = self._ids(mark.decode())
-        for word, low, tail in split:
-            known[word] = known[letters[low]] + known[tail] if tail else known[letters[low]]
-        for word, found in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+            known.update(zip(part, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+        tails = {tail: self._ids(tail.decode()) for tail in {tail for _, _, tail in marked}}
+        known.update((word, known[core] + tails[tail]) for word, core, tail in marked)
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
+        known.update((word, np.array(found.ids, "<u4").tobytes()) for word, found in zip(other, encoded, strict=True))
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        group, size = [], 0
         for text in texts:
-            if not text:
-                yield END
-            elif any(s in text for s in self.special):
-                yield self._ids(text) + END
-            else:
-                words = text.encode("utf-8", "surrogatepass").split()  # at ASCII white space
-                if len(words) > CACHE // 8:  # more words than the cache keeps: in parts
-                    yield b"".join(self._part(words[k : k + CACHE // 8]) for k in range(0, len(words), CACHE // 8)) + END
-                else:
-                    yield self._part(words) + END
-
-    def _part(self, words: list[bytes]) -> bytes:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self._learn(new)
-            if missing := [w for w in dict.fromkeys(words) if w not in self.known]:  # the cache was cleared
-                self._learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+            group.append(text)
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str | None]) -> Iterator[bytes]:
+        alone = [not t or len(t) > GROUP_CHARS or self._whole(t) for t in texts]
+        words = [[] if a else self._words(t).split() for t, a in zip(texts, alone, strict=True)]  # at ASCII white space
+        self._learn(chain.from_iterable(words))
+        get = self.known.__getitem__
+        for text, a, x in zip(texts, alone, words, strict=True):
+            ids = b"".join(map(get, x)) if not a else b"" if not text else self._ids(text) if self._whole(text) else None
+            yield (b"".join(self._parts(text)) if ids is None else ids) + END
+
+    def _whole(self, text: str) -> bool:
+        """Texts that the tokenizer must see in one piece."""
+        return any(s in text for s in self.special) or not (text.isascii() or BY_CONTEXT.isdisjoint(text))
+
+    def _words(self, text: str) -> bytes:
+        return text.lower().encode("utf-8", "surrogatepass")
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        rest = self._words(text)
+        while rest:
+            words = rest.split(None, PART_WORDS)
+            words, rest = words[:PART_WORDS], words[PART_WORDS] if len(words) > PART_WORDS else b""
+            self._learn(words)
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece.  ``tokenizer``: the path of its file."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = kept(("tokens", tokenizer), lambda: WordTokens(tokenizer))  # for all tasks of a worker
+        tokens = WordTokens(tokenizer)
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
-            for at, ids in enumerate(tokens.many(batch.column(1).to_pylist())):
+            for at, ids in enumerate(tokens.many(sliced(batch.column(1)))):
                 for k, begin in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[begin : begin + 4 * capacity]
                     owner.append(at)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attnlens.llm.common import alnum_words, release
+from attnlens.llm.common import alnum_words, sliced
 
 MAX_ROWS = 5_000
 STARTS = (3, 4, 5, 6)
@@ -39,6 +39,8 @@ MIN_ROWS = 6
 #: log of the least ratio between a feature's frequency in toxic and other rows
 MIN_RATIO = np.log(30.0)
 CUT = 0.7
+#: Words whose features a task keeps.
+CACHE = 200_000
 
 
 def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
@@ -77,7 +79,7 @@ class Model:
         for word in distinct:
             found = self.known.get(word)
             if found is None:
-                if len(self.known) > 500_000:
+                if len(self.known) > CACHE:
                     self.known.clear()
                 found = self.known[word] = tuple((f, v) for f in _features(word) if (v := self.lexicon.get(f)) is not None)
             if found:
@@ -87,7 +89,7 @@ class Model:
         out[VOTERS:] = _patterns(text or "", words, len(distinct))
         return out
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
         x = np.array([self.counts(t) for t in texts]).reshape(-1, VOTERS + 4)
         return _sigmoid((_design(x) - self.mean) / self.scale @ self.weights + self.bias)
 
@@ -202,10 +204,9 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(state)  # at most FEATURES entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         model = Model(*sent.value)
         for batch in batches:
-            texts = pa.compute.struct_field(batch.column(0), "text").to_pylist()
+            texts = sliced(pa.compute.struct_field(batch.column(0), "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
