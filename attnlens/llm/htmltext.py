@@ -5,27 +5,33 @@ in class and id, length, share of link text, place) and a 2 x 2 potential ties i
 messages go up from the leaves and down from the root, and a node's text is kept if its marginal is above 1/2.
 
 The potentials are trained on a bounded sample of labelled pages (``max_pages``, picked by a hash): pages whose markup says
-where the article is.  Extraction is a map over all pages without a shuffle.
+where the article is.  Each is also learned from without what says so (its article, main, header and such tags and its class names
+taken away), so that the potentials hold for pages that name nothing.  Extraction is a map over all pages without a shuffle.
 
 Defined cases: a null or empty page has the text ``""``; a text outside any element belongs to the root; unclosed and wrongly nested
-tags are closed as browsers do for block elements; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
+tags are closed as browsers do for block elements; a tag that never ends is dropped with the rest of the page, as browsers do; a page of any
+length and depth is read in time in proportion to it; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attnlens.llm.common import sliced
+
 MAX_PAGES = 400
-#: A tag, a comment, a declaration or a processing instruction.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+UNTIL_VALUE, VALUE, GAP = re.compile(r"[^>=]*+"), re.compile(r"[^\s>]*+"), re.compile(r"\s*+")
 SPACE = re.compile(r"\s+")
 
 # Fixed values of the HTML standard.
@@ -52,36 +58,71 @@ TAGS = (("article", "main"), ("nav", "menu", "dir"), ("header",), ("footer",), (
         ("table", "tbody", "thead", "tr", "td", "th"), ("head",), ("html", "body"))
 _TAG_OF = {t: k for k, ts in enumerate(TAGS) for t in ts}
 _WORD_OF = {w: k for k, ws in enumerate(KEYWORDS) for w in ws}
-N_FEATURES = 1 + len(TAGS) + len(KEYWORDS) + 6
+N_FEATURES = 1 + len(TAGS) + len(KEYWORDS) + 6 + 3
+#: What says of a block that it and all in it is not the article: tags, and groups of words.
+BAD, BAD_WORDS = frozenset(("nav", "aside", "footer", "form", "button", "select", "dialog", "menu")), frozenset((0, 1, 2, 3, 5))
+
+
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I)
+
+
+def tag_end(source: str, at: int) -> int:
+    """The place behind the ``>`` that ends a tag whose name ends at ``at``; quotes count in values only; -1: it never ends."""
+    while True:
+        at = UNTIL_VALUE.match(source, at).end()
+        if at >= len(source):
+            return -1
+        if source[at] == ">":
+            return at + 1
+        at = GAP.match(source, at + 1).end()
+        if source[at : at + 1] in ("'", '"'):
+            at = source.find(source[at], at + 1) + 1
+            if not at:
+                return -1
+        else:
+            at = VALUE.match(source, at).end()
 
 
 class Page:
     """Nodes (parent, tag, keyword groups) and text segments (node, text, inside a link) of a page."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, named: bool = True) -> None:
+        """``named``: whether to look at class, id and role and at the tags that tell parts of a page apart."""
         self.parent, self.tag, self.words, self.segments = [-1], ["html"], [frozenset()], []
-        self._stack, self._links, at, raw = [0], 0, 0, None
-        for m in TAG.finditer(source):
-            if m.start() < at:
+        self._stack, self._links, self._open_tags, self._known, self._seen = [0], 0, Counter(), named, set()
+        at, begin = 0, 0  # the text since ``begin`` is still to be taken
+        while (at := source.find("<", at)) >= 0:
+            close = source.startswith("/", at + 1)
+            name = NAME.match(source, at + 1 + close)
+            if name:
+                end = tag_end(source, name.end())
+            elif source.startswith("!--", at + 1):
+                end = source.find("-->", at + 2) + 3 if source.find("-->", at + 2) >= 0 else -1
+            elif source[at + 1 : at + 2] in ("!", "?") or close:
+                end = source.find(">", at) + 1 or -1
+            else:
+                at += 1
                 continue
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            close, name = m.group(1), (m.group(2) or "").lower()
-            if not name:
+            if at > begin:
+                self._text(source[begin:at])
+            tag, attributes = (name[0].lower(), source[name.end() : end]) if name else ("", "")
+            at = begin = len(source) if end < 0 else end
+            if end < 0 or not name:
                 continue
-            if name in RAW and not close:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            if tag in RAW and not close:
+                found = _end_of(tag).search(source, at)
+                at = begin = found.end() if found else len(source)
                 self._break()
-            elif name in BLOCK:
-                self._close(name) if close else self._open(name, m.group(3))
-            elif name == "br" or name == "hr":
+            elif tag in BLOCK:
+                self._close(tag) if close else self._open(tag, attributes)
+            elif tag in ("br", "hr"):
                 self._break()
-            elif name == "a":
+            elif tag == "a":
                 self._links = 0 if close else 1
-        if at < len(source):
-            self._text(source[at:])
+        if begin < len(source):
+            self._text(source[begin:])
 
     def _text(self, text: str) -> None:
         node = self._stack[-1]
@@ -96,25 +137,32 @@ class Page:
 
     def _open(self, name: str, rest: str) -> None:
         self._links = 0
-        if name in ("html", "body") and name in self.tag[1 if name == "html" else 0 :]:
-            return
-        tags = [self.tag[n] for n in self._stack]
-        if name not in ("option", "button") and tags[-1] == "p" or tags[-1] in CLOSES.get(name, ()) or tags[-1][0] == "h" and tags[-1] in _TAG_OF and _TAG_OF[tags[-1]] == 7 and name not in ("option",):
-            self._stack.pop()
+        if name in ("html", "body"):
+            if name in self._seen:
+                return
+            self._seen.add(name)
+        top = self.tag[self._stack[-1]]
+        if name not in ("option", "button") and top == "p" or top in CLOSES.get(name, ()) or _TAG_OF.get(top) == 7 and name != "option":
+            self._pop()
             if name == "tr" and self.tag[self._stack[-1]] == "tr":
-                self._stack.pop()
-        found = frozenset(_WORD_OF[w] for m in NAMED.finditer(rest or "") for w in re.split(r"[^a-z]+", "".join(g or "" for g in m.groups()).lower()) if w in _WORD_OF)
+                self._pop()
+        found = frozenset(_WORD_OF[w] for m in NAMED.finditer(rest) for w in re.split(r"[^a-z]+", "".join(g or "" for g in m.groups()).lower()) if w in _WORD_OF) if self._known else frozenset()
+        self._open_tags[name] += 1
         self.parent.append(self._stack[-1])
         self.tag.append(name)
         self.words.append(found)
         self._stack.append(len(self.tag) - 1)
 
+    def _pop(self) -> str:
+        name = self.tag[self._stack.pop()]
+        self._open_tags[name] -= 1
+        return name
+
     def _close(self, name: str) -> None:
         self._links = 0
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[k]] == name:
-                del self._stack[k:]
-                break
+        if self._open_tags[name]:
+            while self._pop() != name:
+                pass
         self._break()
 
     def blocks(self) -> list[tuple[int, str, float]]:
@@ -140,9 +188,14 @@ class Page:
         depth = np.zeros(n)
         for i in range(1, n):
             depth[i] = depth[self.parent[i]] + 1
+        inside, marked = np.zeros(n, bool), np.zeros(n, bool)
+        for i in range(1, n if self._known else 0):
+            main, p = self.tag[i] in ("article", "main"), self.parent[i]
+            inside[i] = main or inside[p]
+            marked[i] = self.tag[i] != "body" and self.bad(i) or marked[p] and not main
         for i in range(n):
             if (k := _TAG_OF.get(self.tag[i])) is not None:
-                x[i, 1 + k] = 1
+                x[i, 1 + (k if self._known or k > 5 else 9)] = 1
             for k in self.words[i]:
                 x[i, 1 + len(TAGS) + k] = 1
         at = 1 + len(TAGS) + len(KEYWORDS)
@@ -152,8 +205,13 @@ class Page:
         x[:, at + 3] = ends > 0
         x[:, at + 4] = np.minimum(depth, 10) / 10
         x[:, at + 5] = own > 80
+        x[:, at + 6], x[:, at + 7], x[:, at + 8] = inside, marked, inside.any() & ~inside
         return x
 
+    def bad(self, i: int) -> bool:
+        """Whether the block itself says that it is not part of the article."""
+        return self.tag[i] in BAD or bool(self.words[i] & BAD_WORDS)
+
 
 def marginals(parent: list[int], unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """P(content) of each node; parents come before their children.  ``unary``: log odds; ``pair``: log potentials
@@ -173,16 +231,13 @@ def marginals(parent: list[int], unary: np.ndarray, pair: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(np.clip(down[:, 0] - down[:, 1], -50, 50)))
 
 
-BAD = frozenset(("nav", "aside", "footer", "form", "button", "select", "dialog", "menu"))
-
-
 def labelled(page: Page) -> np.ndarray | None:
     """1 for nodes in the article, 0 elsewhere, by the markup; None where it does not say."""
     y = np.zeros(len(page.tag))
     for i in range(len(page.tag)):
         p = page.parent[i]
         inside = page.tag[i] in ("article", "main") or p >= 0 and y[p] == 1
-        y[i] = inside and page.tag[i] not in BAD and not page.words[i] & {0, 1, 2, 3, 5}
+        y[i] = inside and not page.bad(i)
     return y if y.any() else None
 
 
@@ -194,13 +249,15 @@ def train(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
         prior[k] = w
     prior[1 + len(TAGS) : 1 + len(TAGS) + 7] = (-4, -4, -4, -4, -3, -4, 1)
     prior[1 + len(TAGS) + len(KEYWORDS) + 1] = -2
+    prior[-3:] = (3, -10, -4)
     xs, ys, ps = [], [], []
     for source in pages:
         page = Page(source)
         if (y := labelled(page)) is not None:
-            xs.append(page.features(page.blocks()))
-            ys.append(y)
-            ps.append(np.r_[-1, y[page.parent[1:]]])
+            for seen in (page, Page(source, named=False)):
+                xs.append(seen.features(seen.blocks()))
+                ys.append(y)
+                ps.append(np.r_[-1, y[page.parent[1:]]])
     w, pair = prior.copy(), np.array([[1.0, -1.0], [-1.0, 1.0]])
     if xs:
         x, y, p = np.concatenate(xs), np.concatenate(ys), np.concatenate(ps)
@@ -240,7 +297,7 @@ def extract(pages: DataFrame, max_pages: int = MAX_PAGES, page_id: str = "page_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, w, pair) for h in b.column("html").to_pylist()]
+            texts = [main_text(h, w, pair) for h in sliced(b.column("html"))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
