@@ -185,9 +185,9 @@ class Page:
             own[node] += len(text)
             linked[node] += link * len(text)
             ends[node] += text[-1] in ".!?…"
-        depth = np.zeros(n)
+        around = np.zeros(n)  # the texts of the block's siblings and its own
         for i in range(1, n):
-            depth[i] = depth[self.parent[i]] + 1
+            around[self.parent[i]] += own[i]
         inside, marked = np.zeros(n, bool), np.zeros(n, bool)
         for i in range(1, n if self._known else 0):
             main, p = self.tag[i] in ("article", "main"), self.parent[i]
@@ -203,7 +203,7 @@ class Page:
         x[:, at + 1] = linked / np.maximum(own, 1)
         x[:, at + 2] = own > 0
         x[:, at + 3] = ends > 0
-        x[:, at + 4] = np.minimum(depth, 10) / 10
+        x[1:, at + 4] = np.log1p(around[self.parent[1:]]) / 5
         x[:, at + 5] = own > 80
         x[:, at + 6], x[:, at + 7], x[:, at + 8] = inside, marked, inside.any() & ~inside
         return x
