@@ -1,10 +1,11 @@
 """WARC archives as a chunked record table.
 
+``classified`` compares digests and ids only; payloads stay where they were read unless more than BROADCAST digests have several pages.
 ``archive`` turns each page into one record and splits a payload of more than ``chunk`` characters into
-segments (WARC's ``continuation`` records), so that neither a writer nor a reader holds more than one chunk of it.  Spark's
-text writer puts CRLF CRLF after every record, which is what the format asks for, and gzip keeps a file in one
-task when it is read.  ``chunks`` streams the archives into rows of record id and chunk number; ``digests`` sorts those rows
-inside hash partitions and carries one SHA-1 state from row to row.
+segments (WARC's ``continuation`` records) in one pass, a few at a time, so that neither the writer nor a reader holds more than some chunks beside
+the page's own row.  Spark's text writer puts CRLF CRLF after every record, which is what the format asks for, and gzip keeps a file in one
+task when it is read.  ``chunks`` streams the archives into rows of record id and chunk number, those of a record one after the other; ``digests``
+carries one SHA-1 state from row to row, and first sorts rows that come in another order.
 
 Of pages with equal payloads of at least ``smallest`` bytes, the one with the smallest page_id is the response and the
 others are revisits of it without a payload.
@@ -25,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import shared_dir
+from attnlens.llm.common import cut, shared_dir, sliced, small
 
 CHUNK = 1 << 18
+#: Digests of several pages are broadcast up to this many (some 60 MB), and meet the pages by a shuffle beyond.
+BROADCAST = 500_000
+#: Characters of chunks that a writer hands on at once.
+HELD = 1 << 22
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A fixed date: archives of equal pages are equal.
@@ -50,17 +55,40 @@ def classified(pages: DataFrame, smallest: int = 0, page_id: str = "page_id", ur
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1"))
     groups = (rows.where(F.col("payload_bytes") >= smallest).groupBy("sha1")
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    joined = rows.join(groups, "sha1", "left")
+    groups = cut(groups)
+    joined = rows.join(F.broadcast(groups) if small(groups, BROADCAST) else groups, "sha1", "left")
     return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
 def archive(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
     """Writes a record for each row of ``classified`` to gzipped archives in ``path``."""
     rows = rows.withColumn("record", F.concat_ws("-", F.col("page_id").cast("string"), F.monotonically_increasing_id().cast("string")))
+    columns = ["record", "page_id", "url", "sha1", "first"]
     body = F.when(F.col("first").isNull(), F.col("payload")).otherwise("")
-    last = F.greatest(F.ceil(F.char_length(body) / chunk).cast("int") - 1, F.lit(0))
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(body, i * chunk + 1, F.lit(chunk)))
-    rows = rows.select("record", "page_id", "url", "sha1", "first", last.alias("last"), F.posexplode(parts).alias("at", "part"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, last, at, part, held = [], [], [], [], 0
+
+            def rows(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                kept = batch.select(columns).take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(last, pa.int32()), pa.array(at, pa.int32()), pa.array(part, pa.string())], [*columns, "last", "at", "part"])
+
+            for k, text in enumerate(sliced(batch.column("body"), 16)):
+                for begin in range(0, max(1, len(text)), chunk):
+                    places.append(k)
+                    last.append(max(0, len(text) - 1) // chunk)
+                    at.append(begin // chunk)
+                    part.append(text[begin : begin + chunk])
+                    held += len(part[-1])
+                    if held >= HELD:
+                        yield rows()
+                        places, last, at, part, held = [], [], [], [], 0
+            if places:
+                yield rows()
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    rows = rows.select(*columns, body.alias("body")).mapInArrow(split, f"{kinds}, last int, at int, part string")
     kind = F.when(F.col("at") > 0, "continuation").when(F.col("first").isNull(), "response").otherwise("revisit")
     field = lambda name, value, when: F.when(when, F.concat(F.lit(f"{name}: "), value))
     always = F.lit(True)
@@ -119,9 +147,9 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
         parse, "record string, chunk int, kind string, page_id string, refers_to string, digest string, part binary")
 
 
-def digests(parts: DataFrame) -> DataFrame:
+def digests(parts: DataFrame, together: bool = False) -> DataFrame:
     """``record, kind, page_id, refers_to, said`` (the header's digest), ``payload_bytes`` and ``payload_digest`` of
-    every record of ``chunks``, in whatever order its rows come."""
+    every record of ``chunks``, in whatever order its rows come; ``together``: those of a record follow each other, as ``chunks`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record", "kind", "page_id", "refers_to", "said", "payload_bytes", "payload_digest"]
@@ -150,7 +178,8 @@ def digests(parts: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([done(now)], schema=schema)
 
-    return parts.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(
+    dealt = parts if together else parts.repartition("record").sortWithinPartitions("record", "chunk")
+    return dealt.mapInArrow(
         run, "record string, kind string, page_id string, refers_to string, said string, payload_bytes bigint, payload_digest string")
 
 
@@ -161,7 +190,7 @@ def round_trip(pages: DataFrame, smallest: int = 0, chunk: int = CHUNK, page_id:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     archive(classified(pages, smallest, page_id, url, html), path, chunk)
     kind = pages.schema[page_id].dataType
-    back = digests(chunks(spark, path)).withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
+    back = cut(digests(chunks(spark, path), together=True).withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind)))
     responses = back.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
     # a revisit has the payload of the response that it names
     full = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
