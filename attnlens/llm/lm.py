@@ -31,15 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, space_words
+from attnlens.llm.common import cut, sliced, space_words
 
 WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 64
 FREQUENT = WIDTH * FREQUENT_CLASSES
 CLASSES = FREQUENT_CLASSES + SPELLING_CLASSES + 1
 START = FREQUENT + SPELLING_CLASSES + 1
-TOP = 100_000
-HIDDEN = 24
-STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 80, 2
+TOP = 200_000
+HIDDEN = 16
+STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 40, 2
 #: Tokens of a shard, and weights added up in one place.
 SHARD_TOKENS, FAN = 500_000, 32
 #: Tokens that a task scores together, and words whose spelling it keeps.
@@ -70,8 +70,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    g, hu, n = w["x"][x], h @ w["u"], HIDDEN
+def _step(w: Weights, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gates, candidate and next state of inputs ``g`` (rows of w["x"])."""
+    hu, n = h @ w["u"], HIDDEN
     gates = _sigmoid(g[:, : 2 * n] + hu[:, : 2 * n])
     z, r, a = gates[:, :n], gates[:, n:], hu[:, 2 * n :]
     c = np.tanh(g[:, 2 * n :] + r * a)
@@ -96,16 +97,24 @@ def log_probs(w: Weights, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         logit = part @ w["c"] + w["cb"]
         top = logit.max(1)
         out[k : k + len(part)] = logit[np.arange(len(part)), cls] - top - np.log(np.exp(logit - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(FREQUENT_CLASSES + 1))
+        order, ends = _by_class(cls)
+        rows, at, found = part[order], sym[order] % WIDTH, np.empty(len(order))
         for c in range(FREQUENT_CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                lp = _log_softmax(part[rows] @ w["w"][c] + w["wb"][c])
-                out[k + rows] += lp[np.arange(len(rows)), sym[rows] % WIDTH]
+            b, e = ends[c], ends[c + 1]
+            if e > b:
+                lp = _log_softmax(rows[b:e] @ w["w"][c] + w["wb"][c])
+                found[b:e] = lp[np.arange(e - b), at[b:e]]
+        out[k + order] += found
     return out
 
 
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of the frequent tokens, class by class, and where each class begins and ends among them."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(FREQUENT_CLASSES + 1)).tolist()
+    return order[: ends[-1]], ends
+
+
 def text_log_probs(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
     """Natural log-probability of each whole symbol sequence."""
     out = np.zeros(len(texts))
@@ -125,9 +134,8 @@ def text_log_probs(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.
             y[: len(part), j] = part
         x = np.concatenate([last[None, :n], np.maximum(y[:-1], 0)])
         states = np.empty((window, n, HIDDEN), np.float32)
-        states[0] = _step(w, x[0], h[:n])[-1]
-        for t in range(1, window):
-            states[t] = _step(w, x[t], states[t - 1])[-1]
+        for t in range(window):
+            states[t] = _step(w, w["x"][x[t]], states[t - 1] if t else h[:n])[-1]
         real = y >= 0
         lp = np.zeros((window, n))
         lp[real] = log_probs(w, states[real], y[real])
@@ -140,9 +148,12 @@ def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tupl
     """Gradients of the mean loss over one window [step, stream], the last state, and the loss."""
     steps, streams, n = *x.shape, HIDDEN
     kept, h, states = [], h0, np.empty((steps, streams, n), np.result_type(h0, w["u"]))
+    begins, inputs = x == START, w["x"][x]
+    some = begins.any(1).tolist()
     for t in range(steps):
-        h = np.where((x[t] == START)[:, None], np.float32(0), h)  # a text begins
-        z, r, a, c, new = _step(w, x[t], h)
+        if some[t]:  # a text begins
+            h = np.where(begins[t][:, None], np.float32(0), h)
+        z, r, a, c, new = _step(w, inputs[t], h)
         kept.append((h, z, r, a, c))
         # a state that the next text's start resets is still the one that predicts its end
         states[t] = h = new
@@ -165,16 +176,17 @@ def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tupl
     d, loss = softmax(flat, w["c"], w["cb"], cls)
     g["c"], g["cb"] = flat.T @ d, d.sum(0)
     dh_out = d @ w["c"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(FREQUENT_CLASSES + 1))
+    order, ends = _by_class(cls)
+    rows, at = flat[order], sym[order] % WIDTH
+    back = np.empty_like(rows)
     for c in range(FREQUENT_CLASSES):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            part = flat[rows]
-            d, more = softmax(part, w["w"][c], w["wb"][c], sym[rows] % WIDTH)
+        b, e = ends[c], ends[c + 1]
+        if e > b:
+            d, more = softmax(rows[b:e], w["w"][c], w["wb"][c], at[b:e])
             loss += more
-            g["w"][c], g["wb"][c] = part.T @ d, d.sum(0)
-            dh_out[rows] += d @ w["w"][c].T
+            g["w"][c], g["wb"][c] = rows[b:e].T @ d, d.sum(0)
+            np.matmul(d, w["w"][c].T, out=back[b:e])
+    dh_out[order] += back
     dh_out = dh_out.reshape(steps, streams, n)
     back, dgs = np.zeros((streams, n), np.float32), np.empty((steps, streams, 3 * n), np.float32)
     for t in range(steps - 1, -1, -1):
@@ -186,7 +198,8 @@ def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tupl
         dgs[t] = np.concatenate([dz, dr, dc], 1)
         g["u"] += h_t.T @ dhu
         back = dh * z + dhu @ w["u"].T
-        back[x[t] == START] = 0
+        if some[t]:
+            back[begins[t]] = 0
     order = np.argsort(x, axis=None, kind="stable")
     seen, first = np.unique(x.ravel()[order], return_index=True)
     g["x"][seen] = np.add.reduceat(dgs.reshape(-1, 3 * n)[order], first)
@@ -196,7 +209,7 @@ def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tupl
 def windows(texts: list[np.ndarray], steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Inputs and next symbols [step, stream] of one whole pass over the texts, laid end to end in as many streams, STREAMS at least, as need no more
     than ``steps`` windows.  Every symbol is in a window; the texts' beginning is repeated to fill the last stream."""
-    flat = np.concatenate(texts)
+    flat = np.concatenate(texts).astype(np.int64)
     first = np.zeros(len(flat), bool)
     first[np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]] = True
     inputs = np.where(first, START, np.r_[START, flat[:-1]])
@@ -242,7 +255,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(spelling, words), pa.string()), pa.array(now.values(), pa.int64())], ["word", "spelling", "c"])
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
+            for value in sliced(batch.column(0)):
                 now.update(space_words(value))
             if len(now) > 500_000:
                 yield rows()
@@ -339,16 +352,27 @@ def fitted(learn: DataFrame, n_tokens: int, symbols: Symbols) -> Weights:
     spark = learn.sparkSession
     shards = max(1, -(-n_tokens // (ROUNDS * SHARD_TOKENS)))
     w = fresh()
-    for round_ in range(ROUNDS if n_tokens else 0):
-        sent = spark.sparkContext.broadcast((w, symbols))
+    if not n_tokens:
+        return w
+    sent_symbols = spark.sparkContext.broadcast(symbols)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, known = sent_symbols.value, {}
+        for batch in batches:
+            found = [symbols.read(text, known)[0].astype("<i2").tobytes() for text in sliced(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["round", "shard", "place", "symbols"])
+
+    mixed = lambda k: F.xxhash64("doc_id", "text", F.lit(k))
+    dealt = learn.select(F.pmod(mixed(1), F.lit(ROUNDS)).alias("round"), mixed(2).alias("shard"), mixed(3).alias("place"), "text")
+    dealt = cut(dealt.mapInArrow(read, "round bigint, shard bigint, place bigint, symbols binary"))
+    for round_ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.01 / (1 + round_)) -> Iterator[pa.RecordBatch]:
-            w, symbols = sent.value
-            known: dict[bytes, int] = {}
-            texts, size, seen = [], 0, 0
+            w, texts, size, seen = sent.value, [], 0, 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    texts.append(symbols.read(text, known)[0])
+                for found in sliced(batch.column(0)):
+                    texts.append(np.frombuffer(found, "<i2"))
                     size += len(texts[-1])
                     if size >= 2 * SHARD_TOKENS:
                         w, seen, texts, size = train(w, texts, ROUND_STEPS, rate)[0], seen + size, [], 0
@@ -358,9 +382,8 @@ def fitted(learn: DataFrame, n_tokens: int, symbols: Symbols) -> Weights:
                 flat = np.concatenate([w[k].ravel() for k in sorted(w)]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat], pa.binary())], ["at", "n", "w"])
 
-        mixed = lambda k: F.xxhash64("doc_id", "text", F.lit(k))
-        dealt = learn.where(F.pmod(mixed(1), F.lit(ROUNDS)) == round_).select("doc_id", "text").repartition(shards, mixed(2)).sortWithinPartitions(mixed(3))
-        flat, at = averaged(dealt.select("text").mapInArrow(run, "at bigint, n bigint, w binary"), shards), 0
+        part = dealt.where(F.col("round") == round_).repartition(shards, "shard").sortWithinPartitions("place").select("symbols")
+        flat, at = averaged(part.mapInArrow(run, "at bigint, n bigint, w binary"), shards), 0
         for k in sorted(w) if flat is not None else ():
             w[k], at = flat[at : at + w[k].size].reshape(w[k].shape).astype(np.float32), at + w[k].size
     return w
@@ -391,26 +414,23 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
         def rows() -> pa.RecordBatch:
             model = text_log_probs(w, [p[3] for p in pending]) / np.log(10)
-            uid, word, tf, facts = [], [], [], []
+            facts, uid, word, tf = [], [], [], []
             for lp, (u, i, held, sym, at, rare) in zip(model, pending, strict=True):
                 found = at[at >= 0]
                 low = sym[sym >= FREQUENT] - FREQUENT
                 spelled = symbols.log_count[found[symbols.symbol[found] >= FREQUENT]].sum() - symbols.log_mass[low].sum()
-                uid.append(u)
-                word.append(b" %d" % u)  # no word has a space
-                tf.append(0)
-                facts.append((i, held, len(sym), int((symbols.count[found] > 0).sum()), float(symbols.log_count[found].sum()), float(lp + spelled)))
+                # no word has a space
+                facts.append((u, b" %d" % u, 0, i, held, len(sym), int((symbols.count[found] > 0).sum()), float(symbols.log_count[found].sum()), float(lp + spelled)))
                 some = Counter(rare)
                 uid += [u] * len(some)
                 word += some.keys()
                 tf += some.values()
-                facts += [(None,) * 6] * len(some)
-            columns = zip(*facts, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()),
-                                               *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            columns = [pa.array(c, k) for c, k in zip(zip(*facts, strict=True), kinds, strict=True)]
+            more = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *(pa.nulls(len(uid), k) for k in kinds[3:])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(columns, more, strict=True)], names)
 
         for batch in batches:
-            for u, i, held, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for u, i, held, value in zip(*(sliced(c) for c in batch.columns), strict=True):
                 sym, at, rare = symbols.read(value, known)
                 pending.append((u, i, held, sym, at, rare))
                 size += len(sym)
@@ -424,7 +444,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(docs.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), to_arrow_type(docs.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     parts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(
         run, f"uid bigint, word binary, tf bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double")
     rare = F.col("tf") * F.log10(F.col("c") + 1)

@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -78,3 +83,63 @@ def test_weights_are_averaged_in_a_tree(spark, monkeypatch):
     got = lm.averaged(spark.createDataFrame(rows, "at bigint, n bigint, w binary"), 29)
     assert np.allclose(got, np.average([np.frombuffer(w, np.float32) for _, _, w in rows], axis=0, weights=[n for _, n, _ in rows]))
     assert lm.averaged(spark.createDataFrame([], "at bigint, n bigint, w binary"), 1) is None
+
+
+def test_counts_and_base_scores_match_plain_python(spark):
+    """And scores match a plain pass of the network over each text, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    words = {i: [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w] for i, t in rows}
+    learned = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for i in learned for w in [*words[i], None])
+    n, v = sum(counts.values()), len(counts)
+    kept = {}
+    monkey = lm.fitted
+    try:
+        def keep(learn, n_tokens, symbols):
+            kept["w"], kept["symbols"] = monkey(learn, n_tokens, symbols), symbols
+            return kept["w"]
+        lm.fitted = keep
+        got = {r["doc_id"]: r for r in lm.scores(docs).collect()}
+    finally:
+        lm.fitted = monkey
+    assert got.keys() == words.keys()
+    w, symbols = kept["w"], kept["symbols"]
+    mass = 10 ** symbols.log_mass
+    for i, some in words.items():
+        tokens = [*some, None]
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in learned, len(tokens), sum(counts[t] > 0 for t in tokens), n)
+        assert abs(r["base_score"] - sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)) < 1e-6 * len(tokens)
+        if len(tokens) < 300:
+            h, x, total = np.zeros(lm.HIDDEN), lm.START, 0.0
+            for t in tokens:
+                sym = int(symbols.read(t or "", {})[0][0])
+                g, hu, k = w["x"][x].astype(float), h @ w["u"], lm.HIDDEN
+                z, reset = (1 / (1 + np.exp(-(g[a : a + k] + hu[a : a + k]))) for a in (0, k))
+                c = np.tanh(g[2 * k :] + reset * hu[2 * k :])
+                h = c + z * (h - c)
+                cls = sym // lm.WIDTH if sym < lm.FREQUENT else sym - lm.FREQUENT + lm.FREQUENT_CLASSES
+                logit = h @ w["c"] + w["cb"]
+                total += logit[cls] - np.log(np.exp(logit).sum())
+                if sym < lm.FREQUENT:
+                    logit = h @ w["w"][cls] + w["wb"][cls]
+                    total += logit[sym % lm.WIDTH] - np.log(np.exp(logit).sum())
+                else:
+                    total += np.log((counts[t] + 1) / mass[sym - lm.FREQUENT])
+                x = sym
+            assert abs(r["score"] - total / np.log(10)) < 1e-3 * len(tokens)
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    rows = lm.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert (sum(r["score"] for r in rows) - sum(r["base_score"] for r in rows)) / tokens > 0.1
+
+
+def test_empty_table_clashing_names_ties_and_a_long_text(spark):
+    rows = [(1, "a b a", 3, "x"), (2, "a b a", 4, "y"), (3, "long text " * 30_000, 5, "z"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int, word string")
+    got = {r["doc_id"]: r for r in lm.scores(docs).collect()}
+    assert got[1]["score"] == got[2]["score"] and got[3]["n_tokens"] == 60_001 and got[None]["n_tokens"] == 1
+    assert lm.scores(docs.limit(0)).count() == 0
