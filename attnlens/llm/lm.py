@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from attnlens.llm.common import cut, sliced, space_words
 
-WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 64
+WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 32
 FREQUENT = WIDTH * FREQUENT_CLASSES
 CLASSES = FREQUENT_CLASSES + SPELLING_CLASSES + 1
 START = FREQUENT + SPELLING_CLASSES + 1
