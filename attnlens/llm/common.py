@@ -9,6 +9,8 @@ have bytes of 0x80 and above, which neither rule treats as a separator.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 from typing import Any
@@ -44,6 +46,14 @@ def sliced(column: pa.Array, rows: int = 256) -> Iterator[Any]:
         yield from column.slice(at, rows).to_pylist()
 
 
+def give_back() -> None:
+    """Hands memory that earlier tasks left unused in a reused Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where
     that is unset (single-machine tests)."""

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, sliced
+from attnlens.llm.common import cut, give_back, sliced
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Characters of texts that are encoded together, words of a part of a longer text, and words whose ids a task keeps.
-GROUP_CHARS, PART_WORDS, CACHE = 4_000_000, 500_000, 150_000
+GROUP_CHARS, PART_WORDS, CACHE = 1_000_000, 200_000, 100_000
 END = bytes(4)
 #: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
 BY_CONTEXT = frozenset("\u0130\u03a3")
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     """``doc_id, piece, start, length, ids_crc32`` of every piece.  ``tokenizer``: the path of its file."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         tokens = WordTokens(tokenizer)
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
