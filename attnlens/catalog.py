@@ -210,12 +210,12 @@ QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    from attnlens import more
+    from attnlens import more, wider
 
-    return {q.__name__: q for q in QUERIES + more.QUERIES}
+    return {q.__name__: q for q in QUERIES + more.QUERIES + wider.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from attnlens import more
+    from attnlens import more, wider
 
-    return ORACLES | more.ORACLES
+    return ORACLES | more.ORACLES | wider.ORACLES

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attnlens.catalog import _ALL, _K, _M, _SAMPLES, _SOFT, _TOUR, _asym, _doc_samples, _layer_means, _MEANS, _TOK, _rounded, _scores
-from attnlens.operators import analysis, capture, edges, samples, signals, snapshots, spectra
+from attnlens.operators import analysis, capture, edges, products, samples, signals, snapshots, spectra
 from attnlens.sources.tokens import KEY, read, sample_labels, shared_dir, tokens
 from attnlens.streaming import windows
 
@@ -73,8 +73,11 @@ def m_entries_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asked entry per row; 0 above the diagonal."""
     tok = tokens(spark, sf_dir)
     asked = tok.select(*KEY, F.col("pos").alias("i"), ((F.col("pos") * 7 + F.col("request_id")) % 20).cast("int").alias("j"))
-    m = edges.normalized(edges.attention(tok))
-    return _rounded(asked.join(m, [*KEY, "i", "j"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))), "p")
+    row, e = Window.partitionBy(*KEY, "i"), edges.scores(tok, causal=True)
+    e = e.withColumn("lse", F.max("s").over(row)).withColumn("lse", F.col("lse") + F.ln(F.sum(F.exp(F.col("s") - F.col("lse"))).over(row)))
+    rows = e.groupBy(*KEY, "i").agg(F.max("lse").alias("lse"))
+    columns = e.groupBy(*KEY, "j").agg(F.sum(F.exp(F.col("s") - F.col("lse"))).alias("degree"))
+    return _rounded(products.asked_entries(tok, asked, rows, columns), "p")
 
 
 def asymmetry_tumbling_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +92,7 @@ def asymmetry_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return signals.cyclic_witness(tokens(spark, sf_dir)).select(*KEY, (F.col("t") + 1).alias("n"), F.sum("closed").over(w).alias("t_cyc")).where("n % 5 = 0")
+    return signals.cyclic_prefixes(tokens(spark, sf_dir)).where("n % 5 = 0")
 
 
 def routing_commutator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def routing_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routing_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra.matrix_features(edges.normalized(edges.attention(tokens(spark, sf_dir))), cut=True)
+    return spectra.conductance(edges.normalized(edges.attention(tokens(spark, sf_dir))))
 
 
 def tracker_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:

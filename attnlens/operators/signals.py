@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnlens.functions.arrays import pairs
-from attnlens.operators.edges import attention, scores
-from attnlens.sources.tokens import KEY
+from attnlens.functions.arrays import dot, pairs
+from attnlens.operators.edges import attention
+from attnlens.sources.tokens import DIMS, KEY
 
 EPS = 1e-10
 
@@ -82,9 +82,14 @@ def laplacian(e: DataFrame, top: int = 10) -> DataFrame:
 
 def beats(tok: DataFrame) -> DataFrame:
     """Tournament edges ``i`` beats ``j``: the larger score, ties to the earlier token."""
-    s = scores(tok, causal=False, scale=False)
-    t = s.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"))
-    return s.join(t, [*KEY, "i", "j"]).where("i != j and (s > t or (s = t and i < j))").select(*KEY, "i", "j")
+    first = both_scores(tok).select(*KEY, F.when(F.col("s") >= F.col("t"), F.struct("i", "j")).otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j"))).alias("e"))
+    return first.select(*KEY, "e.i", "e.j")
+
+
+def both_scores(tok: DataFrame, scale: float = 1.0) -> DataFrame:
+    """``s`` of i to j and ``t`` of j to i of each pair i < j, from one row of the pair."""
+    a, b = (tok.select(*KEY, F.col("pos").alias(end), F.col("q").alias(f"q{end}"), F.col("k").alias(f"k{end}")) for end in ("i", "j"))
+    return a.join(b, KEY).where("i < j").select(*KEY, "i", "j", (dot("qi", "kj") / scale).alias("s"), (dot("qj", "ki") / scale).alias("t"))
 
 
 def cyclic_count(tok: DataFrame) -> DataFrame:
@@ -108,11 +113,15 @@ def cyclic_witness(tok: DataFrame) -> DataFrame:
     return base.select(*KEY, "t", (pairs(F.col("t").cast("long")) - pairs(F.coalesce("won", F.lit(0))) - F.coalesce("lost", F.lit(0))).cast("long").alias("closed"))
 
 
+def cyclic_prefixes(tok: DataFrame) -> DataFrame:
+    """``n, t_cyc`` of every prefix of ``n`` tokens."""
+    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return cyclic_witness(tok).select(*KEY, (F.col("t") + 1).alias("n"), F.sum("closed").over(w).alias("t_cyc"))
+
+
 def magnetic_degree(tok: DataFrame) -> DataFrame:
-    s = scores(tok, causal=False)
-    t = s.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"))
-    w = s.join(t, [*KEY, "i", "j"]).where("i != j")
-    return w.groupBy(*KEY, "i").agg(F.sum((F.abs("s") + F.abs("t")) / 2).alias("degree"))
+    w = both_scores(tok, DIMS ** 0.5).select(*KEY, F.explode(F.array("i", "j")).alias("i"), ((F.abs("s") + F.abs("t")) / 2).alias("w"))
+    return w.groupBy(*KEY, "i").agg(F.sum("w").alias("degree"))
 
 
 def spectral(tok: DataFrame, rank: int = 4) -> DataFrame:

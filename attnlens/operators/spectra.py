@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnlens.sources.tokens import KEY
@@ -34,7 +34,7 @@ def _keys(part: pa.Table, rows: int = 1) -> dict[str, list]:
 
 
 def _per_window(edges: DataFrame, kernel: Callable[[pa.Table], dict[str, list]], ddl: str) -> DataFrame:
-    types = {"request_id": pa.int64(), "layer_idx": pa.int32(), "head": pa.int32(), "i": pa.int32()}
+    types = {"request_id": pa.int64(), "layer_idx": pa.int32(), "head": pa.int32(), "i": pa.int32(), "side": pa.int32(), "value": pa.float64()}
 
     def run(part: pa.Table) -> pa.Table:
         out = kernel(part)
@@ -45,49 +45,64 @@ def _per_window(edges: DataFrame, kernel: Callable[[pa.Table], dict[str, list]],
     return edges.groupBy(*KEY).applyInArrow(run, f"{_KEY_DDL}, {ddl}")
 
 
-def least_conductance(m: np.ndarray, u: np.ndarray, v: np.ndarray, eps: float = 1e-12) -> float:
-    """The smallest cut over volume among the prefixes of both sides' nodes, sorted by ``u`` and ``v``; 1 without a valid prefix."""
-    rows, cols = m.shape
-    place = np.empty(rows + cols, np.int64)
-    place[np.argsort(np.r_[u, v], kind="stable")] = np.arange(rows + cols)
-    i, j = np.nonzero(m > 0)
-    a, b = place[i], place[rows + j]
-    cut = np.cumsum(np.bincount(np.minimum(a, b), m[i, j], rows + cols) - np.bincount(np.maximum(a, b), m[i, j], rows + cols))
-    weight = np.zeros(rows + cols)
-    weight[place] = np.maximum(np.r_[m.sum(1), m.sum(0)], eps)
-    volume = np.cumsum(weight)
-    smaller = np.minimum(volume, volume[-1] - volume)
-    valid = smaller > eps
-    return float((cut[valid] / smaller[valid]).min()) if valid.any() else 1.0
-
-
-def conductance(m: np.ndarray, eps: float = 1e-12) -> float:
-    """Sweep along the second singular pair.  A clear degree-weighted mean settles its sign; else both signs are tried."""
-    m = np.maximum(m, 0)
-    if len(m) < 2 or not (m > 0).any():
-        return 0.0
-    left, _, right = np.linalg.svd(m)
-    u, v = left[:, 1], right[1]
-    d, e = np.maximum(m.sum(1), eps), np.maximum(m.sum(0), eps)
-    mean = (u @ d) / (d.sum() + eps) + (v @ e) / (e.sum() + eps)
-    if mean < 0:
-        u, v = -u, -v
-    phi = least_conductance(m, u, v, eps)
-    if phi >= 0 and abs(mean) > 0.1:
-        return phi
-    return float(np.clip(min(phi, least_conductance(m, -u, -v, eps)), 0, 1))
-
-
-def matrix_features(edges: DataFrame, rank: int | None = 4, cut: bool = False) -> DataFrame:
-    """Singular values of ``p``, the second ones of it and of its antisymmetric part, and with ``cut`` the sweep conductance."""
+def second_pair(edges: DataFrame) -> DataFrame:
+    """``side`` (0: rows, 1: columns), ``i`` and ``value`` of the second left and right singular vectors of each window with two tokens or more."""
+
+    def kernel(part: pa.Table) -> dict[str, list]:
+        left, _, right = np.linalg.svd(np.maximum(_matrix(part, "p")[0], 0))
+        n = len(left) if len(left) > 1 else 0
+        return {"side": [0] * n + [1] * n, "i": [*range(n)] * 2, "value": [*left[:n, 1].tolist(), *right[1].tolist()] if n else []}
+
+    return _per_window(edges, kernel, "side int, i int, value double")
+
+
+def sweep(edges: DataFrame, vectors: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """``phi_up, phi_down, mean`` of each window.  The nodes of both sides stand in the order of ``value``; each of its beginnings is a set whose
+    cut, the weight of the edges that leave it, is compared with the smaller of its volume and the rest's.  ``phi_up`` is the least ratio, ``phi_down`` that
+    of the other direction, ``mean`` the sides' means of ``value`` weighted by degree, added up."""
+    e = edges.where("p > 0").select(*KEY, "i", "j", "p")
+    degree = e.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("i")), F.struct(F.lit(1).alias("side"), F.col("j").alias("i")))).alias("n"), "p")
+    degree = degree.groupBy(*KEY, "n.side", "n.i").agg(F.sum("p").alias("degree"))
+    nodes = vectors.join(degree, [*KEY, "side", "i"], "left").withColumn("degree", F.greatest(F.coalesce("degree", F.lit(0.0)), F.lit(eps)))
+    sides = nodes.groupBy(*KEY, "side").agg((F.sum(F.col("value") * F.col("degree")) / (F.sum("degree") + eps)).alias("mean"))
+    means = sides.groupBy(*KEY).agg(F.sum("mean").alias("mean"))
+    turned = nodes.withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1))))
+    key = [*KEY, "way"]
+    order = Window.partitionBy(*key).orderBy(F.col("value") * F.col("way"), "side", "i")
+    placed = turned.withColumn("place", F.row_number().over(order))
+    ends = [placed.where(F.col("side") == s).select(*key, F.col("i").alias("i" if s == 0 else "j"), F.col("place").alias(f"at{s}")) for s in (0, 1)]
+    across = e.join(ends[0], [*KEY, "i"]).join(ends[1], [*key, "j"])
+    # an edge is cut from its first end's place up to its last one's
+    steps = across.select(*key, F.explode(F.array(F.struct(F.least("at0", "at1").alias("place"), F.col("p").alias("d")), F.struct(F.greatest("at0", "at1").alias("place"), (-F.col("p")).alias("d")))).alias("s"))
+    steps = steps.groupBy(*key, "s.place").agg(F.sum("s.d").alias("d"))
+    run = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sets = placed.select(*key, "place", "degree").join(steps, [*key, "place"], "left").select(
+        *key, F.sum(F.coalesce("d", F.lit(0.0))).over(run).alias("cut"), F.sum("degree").over(run).alias("volume"), F.sum("degree").over(Window.partitionBy(*key)).alias("all"))
+    smaller = F.least("volume", F.col("all") - F.col("volume"))
+    least = lambda way: F.coalesce(F.min(F.when((F.col("way") == way) & (smaller > eps), F.col("cut") / smaller)), F.lit(1.0))
+    return sets.groupBy(*KEY).agg(least(1).alias("phi_up"), least(-1).alias("phi_down")).join(means, KEY)
+
+
+def conductance(edges: DataFrame, clear: float = 0.1) -> DataFrame:
+    """``phi_hat`` of each window: the sweep along the second singular pair, in the direction of a mean that is not below 0; without a clear mean the
+    better of both directions.  0 for windows without a pair of tokens or a positive weight."""
+    found = sweep(edges, second_pair(edges))
+    along, against = F.when(F.col("mean") < 0, F.col("phi_down")).otherwise(F.col("phi_up")), F.when(F.col("mean") < 0, F.col("phi_up")).otherwise(F.col("phi_down"))
+    either = F.least(F.greatest(F.least(along, against), F.lit(0.0)), F.lit(1.0))
+    phi = F.when((along >= 0) & (F.abs("mean") > clear), along).otherwise(either)
+    some = edges.groupBy(*KEY).agg((F.max("p") > 0).alias("some"))
+    return some.join(found, KEY, "left").select(*KEY, F.when(F.col("some"), F.coalesce(phi, F.lit(0.0))).otherwise(0.0).alias("phi_hat"))
+
+
+def matrix_features(edges: DataFrame, rank: int | None = 4) -> DataFrame:
+    """Singular values of ``p``, and the second ones of it and of its antisymmetric part."""
 
     def kernel(part: pa.Table) -> dict[str, list]:
         (m,) = _matrix(part, "p")
         s, a = np.linalg.svd(m, compute_uv=False), np.linalg.svd((m - m.T) / 2, compute_uv=False)
-        out = {"sigmas": [s[:rank].tolist()], "sigma2": [float(s[1]) if len(s) > 1 else 0.0], "sigma2_asym": [float(a[1]) if len(a) > 1 else 0.0]}
-        return out | ({"phi_hat": [conductance(m)]} if cut else {})
+        return {"sigmas": [s[:rank].tolist()], "sigma2": [float(s[1]) if len(s) > 1 else 0.0], "sigma2_asym": [float(a[1]) if len(a) > 1 else 0.0]}
 
-    return _per_window(edges, kernel, "sigmas array<double>, sigma2 double, sigma2_asym double" + (", phi_hat double" if cut else ""))
+    return _per_window(edges, kernel, "sigmas array<double>, sigma2 double, sigma2_asym double")
 
 
 def spectral_summary(df: DataFrame, sigmas: str = "sigmas") -> DataFrame:

@@ -38,30 +38,35 @@ def test_frustration_witness_is_a_unit_vector(spark):
 
 def test_matrix_features_equal_dense_values(spark):
     m = np.abs(np.random.default_rng(2).normal(size=(10, 10)))
-    got = spectra.matrix_features(_edges(spark, m), rank=3, cut=True).first()
+    got = spectra.matrix_features(_edges(spark, m), rank=3).first()
     assert np.allclose(got["sigmas"], np.linalg.svd(m, compute_uv=False)[:3])
     assert np.isclose(got["sigma2_asym"], np.linalg.svd((m - m.T) / 2, compute_uv=False)[1])
-    assert 0 <= got["phi_hat"] <= 1
 
 
-def test_conductance_of_two_blocks_is_small():
-    m = np.kron(np.eye(2), np.ones((5, 5))) + 0.01
-    assert spectra.conductance(m) < 0.05 < spectra.conductance(np.random.default_rng(3).random((10, 10)))
-    assert spectra.conductance(np.zeros((4, 4))) == 0.0
+def test_conductance_of_two_blocks_is_small(spark):
+    phi = lambda m: spectra.conductance(_edges(spark, m)).first()["phi_hat"]
+    blocks = np.kron(np.eye(2), np.ones((5, 5))) + 0.01
+    assert phi(blocks) < 0.05 < phi(np.random.default_rng(3).random((10, 10)))
+    assert phi(np.zeros((4, 4))) == 0.0 and phi(np.ones((1, 1))) == 0.0
 
 
-def test_least_conductance_against_every_prefix():
+def test_sweep_against_every_set(spark):
     rng = np.random.default_rng(4)
-    m, u, v = rng.random((6, 6)), rng.normal(size=6), rng.normal(size=6)
-    side = np.argsort(np.r_[u, v])
+    m, u, v = rng.random((6, 6)) * (rng.random((6, 6)) > 0.3), rng.normal(size=6), rng.normal(size=6)
+    e = _edges(spark, m)
+    key = e.select(*KEY).first()
+    vectors = spark.createDataFrame([(*key, s, i, float(x)) for s, side in enumerate((u, v)) for i, x in enumerate(side)], "request_id bigint, layer_idx int, head int, side int, i int, value double")
+    got = spectra.sweep(e, vectors).first()
     d = np.r_[m.sum(1), m.sum(0)]
-    best = 1e9
-    for k in range(1, 12):
-        s = np.zeros(12, bool)
-        s[side[:k]] = True
-        cut = sum(m[i, j] for i in range(6) for j in range(6) if s[i] != s[6 + j])
-        best = min(best, cut / min(d[s].sum(), d[~s].sum()))
-    assert abs(spectra.least_conductance(m, u, v) - best) < 1e-12
+    for way, name in ((1, "phi_up"), (-1, "phi_down")):
+        order, best = np.argsort(way * np.r_[u, v]), 1e9
+        for k in range(1, 12):
+            s = np.zeros(12, bool)
+            s[order[:k]] = True
+            cut = sum(m[i, j] for i in range(6) for j in range(6) if s[i] != s[6 + j])
+            best = min(best, cut / min(d[s].sum(), d[~s].sum()))
+        assert abs(got[name] - best) < 1e-9
+    assert abs(got["mean"] - (u @ m.sum(1) + v @ m.sum(0)) / m.sum()) < 1e-9
 
 
 def test_commutator_equals_dense_product(spark):
