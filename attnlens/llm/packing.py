@@ -31,7 +31,7 @@ from attnlens.llm.common import cut, give_back, sliced
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Characters of texts that are encoded together, words of a part of a longer text, and words whose ids a task keeps.
-GROUP_CHARS, PART_WORDS, CACHE = 1_000_000, 200_000, 100_000
+GROUP_CHARS, PART_WORDS, CACHE = 1_000_000, 200_000, 150_000
 END = bytes(4)
 #: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
 BY_CONTEXT = frozenset("\u0130\u03a3")
@@ -53,11 +53,11 @@ class WordTokens:
     def _learn(self, words: Iterable[bytes]) -> None:
         """Ids of new lower-case words.  Letters, then end marks: both parts are tokens of their own to the tokenizer, so a word of letters is encoded
         once for all its end marks, together with many others."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        letters, marked, other = set(), [], []
-        for word in set(words).difference(known):
+        asked = set(words)
+        if len(self.known) > CACHE:  # words in use now stay
+            self.known = {w: ids for w, ids in self.known.items() if w in asked}
+        known, letters, marked, other = self.known, set(), [], []
+        for word in asked.difference(known):
             core = word.rstrip(b".,;:!?")
             if core.isalpha() or core.decode("utf-8", "surrogatepass").isalpha():
                 if core not in known:
