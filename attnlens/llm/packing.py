@@ -17,6 +17,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -31,7 +32,7 @@ from attnlens.llm.common import cut, give_back, sliced
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Characters of texts that are encoded together, words of a part of a longer text, and words whose ids a task keeps.
-GROUP_CHARS, PART_WORDS, CACHE = 1_000_000, 200_000, 150_000
+GROUP_CHARS, PART_WORDS, CACHE = 2_000_000, 200_000, 200_000
 END = bytes(4)
 #: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
 BY_CONTEXT = frozenset("\u0130\u03a3")
@@ -41,6 +42,7 @@ class WordTokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
