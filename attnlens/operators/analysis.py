@@ -8,10 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tumbling(events: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
+#: Keys with more rows than this are numbered in ranges.
+HOT = 100_000
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "at", hot: int = HOT, parts: int = 64) -> DataFrame:
+    """``rows`` with a bigint column ``into``: each row's number from 1 among those of its key, in ``order``.
+
+    The rows of a key that has more than ``hot`` are dealt to ranges of the first order column, numbered in each, and moved on by the rows of
+    the ranges before.  Rows equal in that column share a range.  Null keys are one key; nulls come first."""
+    first = F.col(order[0])
+    cuts = F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000).alias("_cuts")
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), cuts).where(F.col("_n") > hot).select(*[F.col(c).alias(f"_{c}") for c in by], "_cuts")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0))
+    placed = rows.join(large, same, "left").withColumn("_part", part).drop(*[f"_{c}" for c in by])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.where(F.col("_cuts").isNotNull()).groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return (placed.drop("_cuts").withColumn(into, inside).join(offsets, [*same, F.col("_part") == F.col("_p")], "left")
+            .withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).select(*rows.columns, into))
+
+
+def tumbling(events: DataFrame, key: str, order: list[str], width: int, hot: int = HOT) -> DataFrame:
     """Disjoint count windows of ``width`` rows; a trailing part never fires."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    rows = events.withColumn("window_id", F.floor(at / width))
+    rows = numbered(events.select(key, *order, "value"), [key], order, hot=hot).withColumn("window_id", F.floor((F.col("at") - 1) / width))
     return rows.groupBy(key, "window_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).where(F.col("n") == width)
 
 
@@ -32,11 +54,10 @@ def hash_split(rows: DataFrame, key: str, least: float = 0.7) -> DataFrame:
     return rows.where(hash_unit(F.col(key)) >= least)
 
 
-def balanced(rows: DataFrame, label: str, order: str) -> DataFrame:
+def balanced(rows: DataFrame, label: str, order: str, hot: int = HOT) -> DataFrame:
     """The first rows of each class, as many as the smaller class has."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    return (rows.withColumn("at", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-            .join(F.broadcast(n)).where("at <= least").drop("at", "least"))
+    return numbered(rows, [label], [order], hot=hot).join(F.broadcast(n)).where("at <= least").drop("at", "least")
 
 
 def correlation(rows: DataFrame, by: list[str], x: str, label: str) -> DataFrame:
@@ -44,13 +65,26 @@ def correlation(rows: DataFrame, by: list[str], x: str, label: str) -> DataFrame
                                  F.countDistinct(label).alias("classes")).where("n >= 10 and classes = 2").drop("classes")
 
 
+def rank_sums(rows: DataFrame, by: list[str], x: str, label: str, parts: int = 64) -> DataFrame:
+    """``ranks, n, n1`` of each group: the mid-ranks of the rows labelled 1, summed, and the counts of all rows and of those.
+
+    Equal values are counted first; groups of values are then ranked in ``parts`` ranges with running counts between them, so no task holds
+    all values of a group."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("long")).alias("c1"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000).alias("cuts"))
+    placed = counts.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(x)))).drop("cuts")
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "part").agg(F.sum("c").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*by, "part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(sums, [*by, "part"]).withColumn("mid", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)) + (F.col("c") + 1) / 2)
+    return ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("c1")).alias("ranks"), F.sum("c").alias("n"), F.sum("c1").alias("n1"))
+
+
 def auroc(rows: DataFrame, by: list[str], x: str, label: str) -> DataFrame:
     """Mann-Whitney on mid-ranks."""
-    order, same = Window.partitionBy(*by).orderBy(x), Window.partitionBy(*by, x)
-    mid = F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2
-    s = rows.where(F.col(x).isNotNull()).withColumn("mid", mid).groupBy(*by).agg(
-        F.sum(F.when(F.col(label) == 1, F.col("mid"))).alias("ranks"), F.sum(F.col(label)).alias("n1"), F.sum(1 - F.col(label)).alias("n0"))
-    return s.where("n1 > 0 and n0 > 0").select(*by, ((F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auroc"))
+    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
+    return rank_sums(rows.where(F.col(label).isNotNull()), by, x, label).where((n1 > 0) & (n0 > 0)).select(
+        *by, ((F.col("ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))
 
 
 def quartiles(rows: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attnlens.operators.analysis import rank_sums
+
 LEAST, LEAST_OF_CLASS = 10, 3
 
 
@@ -48,23 +50,11 @@ def class_counts(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     return out.withColumn("negative", negative).withColumn("enough", F.least("positive", negative) >= LEAST_OF_CLASS)
 
 
-def value_auroc(rows: DataFrame, by: list[str], x: str, label: str, parts: int = 64) -> DataFrame:
-    """AUROC of each group, 0.5 where it has fewer than LEAST rows or one class.
-
-    Equal values are counted first; groups of values are then ranked in ``parts`` ranges with running counts between them, so no task holds
-    all values of a group."""
-    counts = (rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("long")).alias("c1")))
-    ends = counts.groupBy(*by).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000).alias("cuts"))
-    placed = counts.join(F.broadcast(ends) if not by else ends, by).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(x)))).drop("cuts", "low", "high")
-    sums = placed.groupBy(*by, "part").agg(F.sum("c").alias("n"))
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*by, "part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(sums, [*by, "part"]).withColumn("mid", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)) + (F.col("c") + 1) / 2)
-    total = ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("c1")).alias("ranks"), F.sum("c").alias("n"), F.sum("c1").alias("n1"))
+def value_auroc(rows: DataFrame, by: list[str], x: str, label: str) -> DataFrame:
+    """AUROC of each group, 0.5 where it has fewer than LEAST rows or one class."""
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     enough = (F.col("n") >= LEAST) & (n1 > 0) & (n0 > 0)
-    return total.select(*by, "n", F.when(enough, F.try_divide(F.col("ranks") - n1 * (n1 + 1) / 2, n1 * n0)).otherwise(0.5).alias("auroc"))
+    return rank_sums(rows, by, x, label).select(*by, "n", F.when(enough, F.try_divide(F.col("ranks") - n1 * (n1 + 1) / 2, n1 * n0)).otherwise(0.5).alias("auroc"))
 
 
 def signal_report(rows: DataFrame, sample: str, layer: str, feature: str, x: str, label: str) -> DataFrame:

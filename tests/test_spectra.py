@@ -100,6 +100,32 @@ def test_snapshots_scrub_and_survive_json(spark, tmp_path):
     assert (back["g"], back["gamma"], back["c"], back["eigvals"]) == (None, None, 0.5, None)
 
 
+@pytest.mark.parametrize("hot", [5, 100])
+def test_numbers_of_hot_keys(spark, hot):
+    """Numbers over ranges are those of one window, with a hot key, null keys, null and equal order values."""
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 11 == 0 else 0 if i % 3 else i % 5, None if i % 7 == 0 else int(rng.integers(12)), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t int, id int")
+    got = {(r["k"], r["id"]): r["at"] for r in analysis.numbered(df, ["k"], ["t", "id"], hot=hot, parts=8).collect()}
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want.update({(key, r[2]): n for n, r in enumerate(mine, 1)})
+    assert got == want
+    assert analysis.numbered(df.limit(0), ["k"], ["t", "id"]).count() == 0
+
+
+def test_auroc_counts_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(rng.integers(9)), int(rng.integers(2))) for g in range(3) for _ in range(80)] + [(7, 1.0, 1)]
+    got = {r["g"]: r["auroc"] for r in analysis.auroc(spark.createDataFrame(rows, "g int, x double, y int"), ["g"], "x", "y").collect()}
+    for g in range(3):
+        pos, neg = ([x for h, x, y in rows if h == g and y == c] for c in (1, 0))
+        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+        assert abs(got.pop(g) - want) < 1e-12
+    assert not got
+
+
 def test_bootstrap_limits_hold_the_value(spark):
     rng = np.random.default_rng(6)
     rows = [(0, i, float(rng.normal(i % 2)), i % 2) for i in range(60)] + [(1, i, 1.0, 1) for i in range(12)]
