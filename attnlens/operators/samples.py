@@ -39,9 +39,11 @@ def united(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """At most ``n`` rows of each source, in order, numbered from 0."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("row_index", at).where(F.col("row_index") < n)
+    """At most ``n`` rows of each source, in order, numbered from 0.
+
+    The limit is on the row number itself, so Spark keeps ``n`` rows of a source in each task before it shuffles."""
+    at = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("row_index", at).where(F.col("row_index") <= n).withColumn("row_index", F.col("row_index") - 1)
 
 
 def two_phases(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attnlens.operators import analysis, capture, edges, signals, snapshots, spectra
+from attnlens.operators import analysis, capture, edges, samples, signals, snapshots, spectra
 from attnlens.sources.tokens import KEY, tokens
 from attnlens.streaming import windows
 
@@ -115,6 +115,13 @@ def test_numbers_of_hot_keys(spark, hot):
     assert analysis.numbered(df.limit(0), ["k"], ["t", "id"]).count() == 0
 
 
+def test_first_rows_are_cut_before_the_shuffle(spark):
+    got = samples.first_of_each(spark.range(100).selectExpr("id % 2 k", "id"), "k", ["id"], 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan[plan.index("Exchange") :] and plan.count("WindowGroupLimit") == 2
+    assert sorted(map(tuple, got.collect())) == [(k, 2 * i + k, i) for k in (0, 1) for i in range(3)]
+
+
 def test_auroc_counts_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(g, float(rng.integers(9)), int(rng.integers(2))) for g in range(3) for _ in range(80)] + [(7, 1.0, 1)]
