@@ -19,13 +19,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "at",
     the ranges before.  Rows equal in that column share a range.  Null keys are one key; nulls come first."""
     first = F.col(order[0])
     cuts = F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000).alias("_cuts")
-    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), cuts).where(F.col("_n") > hot).select(*[F.col(c).alias(f"_{c}") for c in by], "_cuts")
+    renamed = [F.col(c).alias(f"_{c}") for c in by]
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*renamed)
+    large = rows.join(large, same, "left_semi").groupBy(*by).agg(cuts).select(*renamed, "_cuts")  # quantiles of large keys alone
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0))
     placed = rows.join(large, same, "left").withColumn("_part", part).drop(*[f"_{c}" for c in by])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (placed.where(F.col("_cuts").isNotNull()).groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-               .select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+               .select(*renamed, F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
     return (placed.drop("_cuts").withColumn(into, inside).join(offsets, [*same, F.col("_part") == F.col("_p")], "left")
             .withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).select(*rows.columns, into))
