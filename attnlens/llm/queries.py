@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
-from attnlens.llm.common import table
+from attnlens.llm import decontam, fim, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
+from attnlens.llm.common import cut, table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
 
@@ -71,10 +71,16 @@ def op10_tree_model_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_seekable_frames_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of every document, from frames stored in the shared folder."""
+    return fim.digests(fim.transform(cut(fim.frames(table(spark, sf_dir, "documents")))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity, op4_gated_recurrent_lm,
-        op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text)}
+        op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text,
+        op11_seekable_frames_fim)}
 
 
 _OP1_SQL = r"""
@@ -156,5 +162,23 @@ from h join g using (x)
 """
 
 
+_OP11_SQL = r"""
+with h as (
+  select doc_id, coalesce(text, '') x, sha256('7:' || coalesce(doc_id::varchar, 'null')) s, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u from documents),
+d as (
+  select doc_id, x, u, len(u) n, list_transform(range(4), lambda i: ('0x' || substr(s, 8 * i + 1, 8))::bigint) h from h),
+c as (
+  select *, least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b,
+         case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end form from d),
+p as (
+  select *, coalesce(array_to_string(u[1:a], ''), '') prefix, coalesce(array_to_string(u[a + 1:b], ''), '') middle, coalesce(array_to_string(u[b + 1:], ''), '') suffix from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(prefix) end::bigint prefix_chars, case when form <> 'plain' then length(middle) end::bigint middle_chars,
+       sha256(case form when 'plain' then x when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
+       sha256(x) restored_sha256
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_index_decontamination": _OP1_SQL, "op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL, "op8_chunked_warc": _OP8_SQL}
+    return {"op1_fm_index_decontamination": _OP1_SQL, "op5_weighted_hash_tree": _op5_sql(), "op7_site_spread_line_dedup": _OP7_SQL, "op8_chunked_warc": _OP8_SQL,
+            "op11_seekable_frames_fim": _OP11_SQL}
