@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import decontam, fim, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
+from attnlens.llm import aligning, decontam, fim, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
 from attnlens.llm.common import cut, table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -76,11 +76,19 @@ def op11_seekable_frames_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(cut(fim.frames(table(spark, sf_dir, "documents")))))
 
 
+def op12_fragment_monoid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of ``byte_bpe_50k`` and ``piece_bpe_32k`` tokens in every document."""
+    import public_tokenizers
+
+    found = aligning.links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity, op4_gated_recurrent_lm,
         op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text,
-        op11_seekable_frames_fim)}
+        op11_seekable_frames_fim, op12_fragment_monoid_alignment)}
 
 
 _OP1_SQL = r"""
