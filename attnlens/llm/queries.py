@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm import aligning, decontam, fim, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
+from attnlens.llm import aligning, chat, decontam, fim, fingerprint, htmltext, linededup, lm, minhash, packing, sharding, toxicity, warc
 from attnlens.llm.common import cut, table
 
 REGIONS, RACKS, SHARDS = 4, 2, 5
@@ -84,11 +84,22 @@ def op12_fragment_monoid_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, read back from the prefix tree's tokens."""
+    import public_tokenizers
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    both = rows.unionByName(spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat.read_back(*chat.tree(both, tokenizer), tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fm_index_decontamination, op2_minhash_near_dedup, op3_weak_supervision_toxicity, op4_gated_recurrent_lm,
         op5_weighted_hash_tree, op6_sum_of_squares_packing, op7_site_spread_line_dedup, op8_chunked_warc, op9_scaled_sketch_fingerprints, op10_tree_model_html_text,
-        op11_seekable_frames_fim, op12_fragment_monoid_alignment)}
+        op11_seekable_frames_fim, op12_fragment_monoid_alignment, op13_prefix_tree_chat)}
 
 
 _OP1_SQL = r"""
