@@ -4,12 +4,12 @@ A document's token ids end with the separator id 0.  Only documents longer than
 into full pieces and one rest.  A piece goes where the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of
 open bins with gap g: into an open bin of gap g (if the piece fits), or into a new bin; ties go to the smallest gap left.
 
-Pieces are dealt by a hash into groups of about ``group_pieces`` and each group is packed by itself, so a task holds one bounded group (three integers a piece) and the bins lost at
+Pieces are dealt by a hash of their number into groups of about ``group_pieces`` and each group is packed by itself, so a task holds one bounded group (three integers a piece) and the bins lost at
 a group's end are few beside its thousands.  Full pieces fill a sequence each and are not packed.
 
 Tokens: texts are encoded in groups of about GROUP_CHARS characters.  The distinct words between white space of a group are encoded at once,
 as the tokenizer never joins across white space; the ids of at most CACHE words and a group's own are kept until the task ends.  Texts
-that hold one of its special strings are encoded whole.
+that hold one of its special strings, or whose lower case NFC would compose once more, are encoded whole.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed as rows of their own; an empty table
 gives no rows; other columns are ignored.
@@ -18,6 +18,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -74,13 +75,14 @@ class WordTokens:
             found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
             of, raw = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            if len(of) and of[-1] != len(part) - 1:
-                raise ValueError("the tokenizer does not keep a word of letters together")
+            if len(of) and of[-1] != len(part) - 1:  # a word of what Python calls letters falls apart
+                other += part
+                continue
             known.update(zip(part, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
-        tails = {tail: self._ids(tail.decode()) for tail in {tail for _, _, tail in marked}}
-        known.update((word, known[core] + tails[tail]) for word, core, tail in marked)
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
         known.update((word, np.array(found.ids, "<u4").tobytes()) for word, found in zip(other, encoded, strict=True))
+        tails = {tail: self._ids(tail.decode()) for tail in {tail for _, _, tail in marked}}
+        known.update((word, known[core] + tails[tail]) for word, core, tail in marked)
 
     def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, size = [], 0
@@ -103,10 +105,13 @@ class WordTokens:
 
     def _whole(self, text: str) -> bool:
         """Texts that the tokenizer must see in one piece."""
-        return any(s in text for s in self.special) or not (text.isascii() or BY_CONTEXT.isdisjoint(text))
+        if any(s in text for s in self.special):
+            return True
+        return not text.isascii() and (not BY_CONTEXT.isdisjoint(text := unicodedata.normalize("NFC", text)) or not unicodedata.is_normalized("NFC", text.lower()))
 
     def _words(self, text: str) -> bytes:
-        return text.lower().encode("utf-8", "surrogatepass")
+        """The text as the tokenizer normalizes it: composed, then in lower case."""
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().encode("utf-8", "surrogatepass")
 
     def _parts(self, text: str) -> Iterator[bytes]:
         rest = self._words(text)
@@ -175,20 +180,20 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``parts`` (of ``pieces``) with ``sequence_id`` and ``offset``."""
-    parts = cut(parts)  # texts are tokenized once
+    parts = cut(parts.withColumn("number", F.monotonically_increasing_id()))  # texts are tokenized once; repeated rows have numbers of their own
     n = parts.where(F.col("length") < capacity).count()
     groups = n // group_pieces + 1
-    group = F.pmod(F.xxhash64("doc_id", "piece", "row_hash"), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")
     kind = parts.schema["doc_id"].dataType.simpleString()
 
     def fill(part: pa.Table) -> pa.Table:
         group = part.column("group")[0].as_py()
         # two orders, by a hash and largest first; the one that takes fewer sequences counts
-        by_hash = part.sort_by([("row_hash", "ascending"), ("piece", "ascending")])
+        by_hash = part.sort_by([("row_hash", "ascending"), ("piece", "ascending"), ("number", "ascending")])
         by_size = by_hash.sort_by([("length", "descending")])
         tried = [(p, *sum_of_squares(p.column("length").to_numpy(), capacity)) for p in (by_hash, by_size)]
         part, bins, offsets = min(tried, key=lambda t: t[1].max())
-        return part.drop_columns(["group", "row_hash"]).append_column("sequence_id", pa.array((bins << 24) + group)).append_column("offset", pa.array(offsets))
+        return part.drop_columns(["group", "row_hash", "number"]).append_column("sequence_id", pa.array((bins << 24) + group)).append_column("offset", pa.array(offsets))
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     packed = (parts.where(F.col("length") < capacity).withColumn("group", group).groupBy("group").applyInArrow(

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from attnlens.llm import packing
 
+
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -49,3 +50,25 @@ def test_sum_of_squares_takes_the_smallest_sum():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(docs, PATH)).count() == 0
+
+
+def test_every_character_of_the_basic_plane_gets_the_tokenizers_ids():
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1F100, 0x1F200)]
+    # composed, apart, and an upper case that only its lower case is composed of
+    texts = [f"wo{c}rd {c}, {c}{c}" for c in chars] + [f"{b}{m} a{b}{m}c" for b in "AaHhTtWwYyJjKkSsIi" for m in "\u0301\u0308\u030a\u030c\u0331\u0307\u0323"]
+    want = [np.array([*e.ids, 0], "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, tokens.many(texts), want, strict=True) if a != b] == []
+
+
+def test_hindi_and_other_composed_letters_in_long_texts():
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    text = " ".join(chr(c) + "\u0915" for c in range(0x958, 0x960)) + " क़लम ज़मीन, फ़िल्म! " + "word " * 10
+    assert list(tokens.many([text * 300])) == [np.array([*tokenizer.encode(text * 300, add_special_tokens=False).ids, 0], "<u4").tobytes()]
+
+
+def test_equal_rows_are_packed_in_several_groups(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'same words here' as text")
+    rows = packing.pack(packing.pieces(docs, PATH), group_pieces=4_000)
+    assert rows.selectExpr("sequence_id & 16777215 as g").groupBy("g").count().where("count < 6000").count() == 6
+    assert rows.count() == 20_000 and rows.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
