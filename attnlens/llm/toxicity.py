@@ -11,7 +11,10 @@
 Fitting runs in one task over that bounded sample; scoring is a map over all documents without a shuffle.  Held-out
 rows (``crc32(doc_id) mod 3 = 1``) take no part in 1 to 3, and neither labels, lang, source nor doc_id enter a score.
 
-Defined cases: a null or empty text has no hits and gets the score of such a text; labels with null flags or null ids are left
+Bounds of the fit: ``max_rows`` labelled rows of each label, one row an id (its smallest text; toxic if any of its labels says so), and FEATURES mined
+features of each kind, strong and weak, the ones with the largest count x log ratio.
+
+Defined cases: a null or empty text has no hits and gets the score of such a text; a null id is not held out; labels with null flags or null ids are left
 out; with no labelled row of one kind the score is 0.5 for all; repeated rows get equal scores; an empty table gives no rows;
 all columns travel in the struct ``row``.
 """
@@ -44,7 +47,8 @@ CACHE = 200_000
 
 
 def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
-    return (F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder)
+    """True for the held-out rows; a null id is not one."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
 
 
 def _features(word: bytes) -> list[bytes]:
@@ -146,8 +150,8 @@ def label_model(fired: np.ndarray, start: np.ndarray, prior: float, rounds: int
     return post, rates, weights
 
 
-def fit(rows: list[tuple[str | None, int]], share: float) -> Model:
-    """A model from (text, label) rows; ``share``: of toxic rows among all labelled ones."""
+def fit(rows: list[tuple[str | None, int]]) -> Model:
+    """A model from (text, label) rows."""
     lexicon = mine(rows)
     empty = Model(lexicon, np.zeros(1), np.ones(1), np.zeros(1), 0.0)
     counts = np.array([empty.counts(t) for t, _ in rows])
@@ -174,20 +178,21 @@ def fit(rows: list[tuple[str | None, int]], share: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """The model of the labelled rows outside the held-out third."""
-    use = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+    use = (labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+           .groupBy("doc_id").agg(F.max("label").alias("label")))
     n = {r["label"]: r["n"] for r in use.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
     rate = F.when(F.col("label") == 1, min(1.0, max_rows / n[1])).otherwise(min(1.0, max_rows / n[0]))
     # at most about 2 x max_rows ids are broadcast
     picked = F.broadcast(use.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000))
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "label")
-    share = n[1] / (n[0] + n[1])
+    # of rows that repeat an id one counts, so ids bound the rows
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True) if t is not None)
         if {y for _, _, y in rows} == {0, 1}:
-            model = fit(sorted({(t, y) for _, t, y in rows}), share)  # a text counts once, however many copies it has
+            model = fit(sorted({(t, y) for _, t, y in rows}))  # a text counts once, however many copies it has
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.lexicon, model.mean, model.scale, model.weights, model.bias))], pa.binary())], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()

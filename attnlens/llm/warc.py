@@ -10,7 +10,7 @@ carries one SHA-1 state from row to row, and first sorts rows that come in anoth
 Of pages with equal payloads of at least ``smallest`` bytes, the one with the smallest page_id is the response and the
 others are revisits of it without a payload.
 
-Defined cases: a null payload is empty; repeated rows with the smallest page_id are all responses; a null page_id never becomes the
+Defined cases: a null payload is empty; a page_id with several payloads has a record for each, and a revisit belongs to the one whose digest its header gives; repeated rows with the smallest page_id are all responses; a null page_id never becomes the
 response of a group that has another; line ends in a URL are dropped; a null URL is written without the field; an empty table
 gives no rows; other columns are ignored.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, shared_dir, sliced, small
+from attnlens.llm.common import cut, shared_dir, sliced, small, split_join
 
 CHUNK = 1 << 18
 #: Digests of several pages are broadcast up to this many (some 60 MB), and meet the pages by a shuffle beyond.
@@ -54,10 +54,13 @@ def classified(pages: DataFrame, smallest: int = 0, page_id: str = "page_id", ur
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1"))
     groups = (rows.where(F.col("payload_bytes") >= smallest).groupBy("sha1")
-              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     groups = cut(groups)
-    joined = rows.join(F.broadcast(groups) if small(groups, BROADCAST) else groups, "sha1", "left")
-    return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    if small(groups, BROADCAST):
+        joined = rows.join(F.broadcast(groups), "sha1", "left")
+    else:
+        joined = split_join(rows, groups, "sha1", "n", pages.count(), "left")
+    return joined.drop("n").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
 def archive(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
@@ -114,7 +117,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
         wanted, held, size, skip = 0, [], 0, 0
         for batch in batches:
             out: list[tuple] = []
-            for value in batch.column(0).to_pylist():
+            for value in sliced(batch.column(0), 16):
                 value, skip = value[skip:], 0
                 if fields is None:
                     if not value:
@@ -161,7 +164,7 @@ def digests(parts: DataFrame, together: bool = False) -> DataFrame:
 
         for batch in batches:
             out = []
-            columns = [batch.column(n).to_pylist() for n in ("record", "chunk", "kind", "page_id", "refers_to", "digest", "part")]
+            columns = [sliced(batch.column(n), 16) for n in ("record", "chunk", "kind", "page_id", "refers_to", "digest", "part")]
             for record, at, kind, page, refers, said, part in zip(*columns, strict=True):
                 if now is None or now[0] != record:
                     if now is not None:
@@ -192,8 +195,10 @@ def round_trip(pages: DataFrame, smallest: int = 0, chunk: int = CHUNK, page_id:
     kind = pages.schema[page_id].dataType
     back = cut(digests(chunks(spark, path), together=True).withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind)))
     responses = back.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
-    # a revisit has the payload of the response that it names
-    full = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    revisits = back.where("kind = 'revisit'").select("page_id", "refers_to").join(full, "refers_to").select(
-        "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    # a revisit has the payload of the response that it names, of those with its page_id the one with its digest
+    named = back.where("kind = 'revisit'").select("page_id", "refers_to", F.concat_ws(" ", F.col("refers_to").cast("string"), "said").alias("of"))
+    full = responses.groupBy(F.concat_ws(" ", F.col("page_id").cast("string"), "payload_digest").alias("of")).agg(
+        F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    members = cut(full.join(named.groupBy("of").agg(F.count(F.lit(1)).alias("n")), "of"))
+    revisits = split_join(named, members, "of", "n", named.count()).select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return responses.unionByName(revisits)

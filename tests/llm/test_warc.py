@@ -31,3 +31,19 @@ def test_round_trip_with_segments(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_page_id_with_several_payloads(spark):
+    rows = [(5, "u", "A" * 9), (5, "u", "B"), (9, "u", "B"), (9, "u", "A" * 9), (5, "u", "C"), (11, "u", "C"), (12, None, "B")]
+    want = sorted((i, len(p), base64.b32encode(hashlib.sha1(p.encode()).digest()).decode(), *(("response", None) if i == 5 else ("revisit", 5))) for i, _, p in rows)
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = warc.round_trip(spark.createDataFrame([(*r, "r", 1) for r in order], SCHEMA)).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_many_repeated_payloads_meet_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST", 0)
+    pages = spark.createDataFrame([(*p, "r", 1) for p in PAGES] + [(100 + k, "u", "", "r", 1) for k in range(40)], SCHEMA)
+    rows = warc.round_trip(pages).collect()
+    assert sorted((tuple(r) for r in rows if (r.page_id or 0) < 100), key=str) == expected()
+    assert [r.refers_to for r in rows if (r.page_id or 0) >= 100] == [3] * 40
