@@ -1,6 +1,7 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
-A page's block elements form a tree.  Each node is content or not: a log-linear potential scores its own features (tag, words
+A page's block elements form a tree; text straight in the root or the body, and inline or unknown elements whose name, class, id or role says
+what is no article (an advert in a ``span``), are nodes too.  Each node is content or not: a log-linear potential scores its own features (tag, words
 in class and id, length, share of link text, place) and a 2 x 2 potential ties it to its parent.  Sum-product
 messages go up from the leaves and down from the root, and a node's text is kept if its marginal is above 1/2.
 
@@ -8,7 +9,7 @@ The potentials are trained on a bounded sample of labelled pages (``max_pages``,
 where the article is.  Each is also learned from without what says so (its article, main, header and such tags and its class names
 taken away), so that the potentials hold for pages that name nothing.  Extraction is a map over all pages without a shuffle.
 
-Defined cases: a null or empty page has the text ``""``; a text outside any element belongs to the root; unclosed and wrongly nested
+Defined cases: a null or empty page has the text ``""``; a text outside any block is a node of its own, and kept as a paragraph would be; drawings and players are dropped; unclosed and wrongly nested
 tags are closed as browsers do for block elements; a tag that never ends is dropped with the rest of the page, as browsers do; a page of any
 length and depth is read in time in proportion to it; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
 """
@@ -36,6 +37,8 @@ SPACE = re.compile(r"\s+")
 
 # Fixed values of the HTML standard.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"))
+#: Elements whose inside is no text of the page.
+DROPPED = frozenset(("audio", "canvas", "math", "object", "svg", "video"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCK = frozenset(("address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
                    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "html", "legend", "li",
@@ -50,7 +53,7 @@ KEYWORDS = (
     ("comment", "comments", "reply", "replies", "disqus", "respond", "discussion", "reader", "feedback"),
     ("sidebar", "aside", "widget", "related", "recommended", "popular", "share", "social", "follow", "newsletter", "subscribe", "signup"),
     ("footer", "header", "masthead", "copyright", "legal", "contentinfo", "complementary", "navigation", "search", "login"),
-    ("cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "gdpr", "warning", "message"),
+    ("cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "gdpr"),
     ("content", "article", "post", "entry", "story", "main", "body", "text"),
 )
 TAGS = (("article", "main"), ("nav", "menu", "dir"), ("header",), ("footer",), ("aside",), ("form", "button", "select", "option", "fieldset", "legend", "dialog"),
@@ -58,7 +61,9 @@ TAGS = (("article", "main"), ("nav", "menu", "dir"), ("header",), ("footer",), (
         ("table", "tbody", "thead", "tr", "td", "th"), ("head",), ("html", "body"))
 _TAG_OF = {t: k for k, ts in enumerate(TAGS) for t in ts}
 _WORD_OF = {w: k for k, ws in enumerate(KEYWORDS) for w in ws}
-N_FEATURES = 1 + len(TAGS) + len(KEYWORDS) + 6 + 3
+N_FEATURES = 1 + len(TAGS) + len(KEYWORDS) + 7 + 3
+#: Signs between the links of a menu that is written in one line.
+BETWEEN = re.compile(r" [|·»›•/] ")
 #: What says of a block that it and all in it is not the article: tags, and groups of words.
 BAD, BAD_WORDS = frozenset(("nav", "aside", "footer", "form", "button", "select", "dialog", "menu")), frozenset((0, 1, 2, 3, 5))
 
@@ -68,6 +73,15 @@ def _end_of(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I)
 
 
+def _groups(text: str) -> frozenset[int]:
+    return frozenset(_WORD_OF[w] for w in re.split(r"[^a-z]+", text.lower()) if w in _WORD_OF)
+
+
+def _named(attributes: str) -> frozenset[int]:
+    """Groups of the words in class, id and role."""
+    return frozenset(k for m in NAMED.finditer(attributes) for k in _groups("".join(g or "" for g in m.groups())))
+
+
 def tag_end(source: str, at: int) -> int:
     """The place behind the ``>`` that ends a tag whose name ends at ``at``; quotes count in values only; -1: it never ends."""
     while True:
@@ -92,6 +106,8 @@ class Page:
         """``named``: whether to look at class, id and role and at the tags that tell parts of a page apart."""
         self.parent, self.tag, self.words, self.segments = [-1], ["html"], [frozenset()], []
         self._stack, self._links, self._open_tags, self._known, self._seen = [0], 0, Counter(), named, set()
+        self._loose: int | None = None  # the node of the text straight in the root or the body
+        self._inline: list[list] = []  # open inline nodes: name, and how many elements of it are open in it
         at, begin = 0, 0  # the text since ``begin`` is still to be taken
         while (at := source.find("<", at)) >= 0:
             close = source.startswith("/", at + 1)
@@ -115,17 +131,40 @@ class Page:
                 found = _end_of(tag).search(source, at)
                 at = begin = found.end() if found else len(source)
                 self._break()
+            elif tag in DROPPED and not close:
+                found = None if attributes.endswith("/>") else _end_of(tag).search(source, at)
+                at = begin = found.end() if found else at
             elif tag in BLOCK:
                 self._close(tag) if close else self._open(tag, attributes)
             elif tag in ("br", "hr"):
                 self._break()
             elif tag == "a":
                 self._links = 0 if close else 1
+            elif tag not in VOID:
+                self._span(tag, attributes, close)
         if begin < len(source):
             self._text(source[begin:])
 
+    def _span(self, name: str, rest: str, close: bool) -> None:
+        """An inline or unknown element: a node if it says that it is no part of the article."""
+        if self._inline and self._inline[-1][0] == name:
+            self._inline[-1][1] += -1 if close else 1
+            if not self._inline[-1][1]:
+                links = self._links
+                self._pop()
+                self._links = links
+        elif not close and self._known and (found := _named(rest) | _groups(name)) & BAD_WORDS:
+            self._add(name, found)
+            self._inline.append([name, 1])
+
     def _text(self, text: str) -> None:
         node = self._stack[-1]
+        if self.tag[node] in ("html", "body"):
+            if self._loose is None and not text.isspace():
+                self._add("p", frozenset())
+                self._loose = self._stack.pop()
+                self._open_tags["p"] -= 1
+            node = node if self._loose is None else self._loose
         if self.segments and self.segments[-1][0] == node:
             self.segments[-1][1].append(text)
             self.segments[-1][2].append(self._links)
@@ -133,10 +172,18 @@ class Page:
             self.segments.append((node, [text], [self._links]))
 
     def _break(self) -> None:
+        self._loose = None
         self.segments.append((-1, [], []))
 
+    def _add(self, name: str, words: frozenset[int]) -> None:
+        self._open_tags[name] += 1
+        self.parent.append(self._stack[-1])
+        self.tag.append(name)
+        self.words.append(words)
+        self._stack.append(len(self.tag) - 1)
+
     def _open(self, name: str, rest: str) -> None:
-        self._links = 0
+        self._links, self._loose = 0, None
         if name in ("html", "body"):
             if name in self._seen:
                 return
@@ -146,15 +193,12 @@ class Page:
             self._pop()
             if name == "tr" and self.tag[self._stack[-1]] == "tr":
                 self._pop()
-        found = frozenset(_WORD_OF[w] for m in NAMED.finditer(rest) for w in re.split(r"[^a-z]+", "".join(g or "" for g in m.groups()).lower()) if w in _WORD_OF) if self._known else frozenset()
-        self._open_tags[name] += 1
-        self.parent.append(self._stack[-1])
-        self.tag.append(name)
-        self.words.append(found)
-        self._stack.append(len(self.tag) - 1)
+        self._add(name, _named(rest) if self._known else frozenset())
 
     def _pop(self) -> str:
         name = self.tag[self._stack.pop()]
+        if name not in BLOCK and self._inline:
+            self._inline.pop()
         self._open_tags[name] -= 1
         return name
 
@@ -180,11 +224,13 @@ class Page:
         n = len(self.tag)
         x = np.zeros((n, N_FEATURES))
         x[:, 0] = 1
-        own, linked, ends = np.zeros(n), np.zeros(n), np.zeros(n)
+        own, linked, ends, menus = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
         for node, text, link in blocks:
             own[node] += len(text)
             linked[node] += link * len(text)
             ends[node] += text[-1] in ".!?…"
+            parts = BETWEEN.split(text)
+            menus[node] += len(parts) > 2 and max(map(len, parts)) <= 24 and text[-1] not in ".!?…"
         around = np.zeros(n)  # the texts of the block's siblings and its own
         for i in range(1, n):
             around[self.parent[i]] += own[i]
@@ -205,7 +251,8 @@ class Page:
         x[:, at + 3] = ends > 0
         x[1:, at + 4] = np.log1p(around[self.parent[1:]]) / 5
         x[:, at + 5] = own > 80
-        x[:, at + 6], x[:, at + 7], x[:, at + 8] = inside, marked, inside.any() & ~inside
+        x[:, at + 6] = menus > 0
+        x[:, at + 7], x[:, at + 8], x[:, at + 9] = inside, marked, inside.any() & ~inside
         return x
 
     def bad(self, i: int) -> bool:
@@ -249,7 +296,7 @@ def train(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
         prior[k] = w
     prior[1 + len(TAGS) : 1 + len(TAGS) + 7] = (-4, -4, -4, -4, -3, -4, 1)
     prior[1 + len(TAGS) + len(KEYWORDS) + 1] = -2
-    prior[-3:] = (3, -10, -4)
+    prior[-4:] = (-8, 3, -10, -4)
     xs, ys, ps = [], [], []
     for source in pages:
         page = Page(source)

@@ -62,6 +62,30 @@ def test_pages_that_name_nothing_are_told_by_their_texts(spark):
     assert right / count > 0.9 and right / count > max(inside, count - inside) / count + 0.2
 
 
+WORDS = "Some words of the text, one after the other, as an article has them. " * 4
+#: Pages and their main text, labelled by hand.
+BY_HAND = [
+    ("Just plain text without any tag.", "Just plain text without any tag."),
+    ("<html><body>Plain text in the body.<br>And a second line.</body></html>", "Plain text in the body. And a second line."),
+    (f"<b>Bold start</b> {WORDS}<p>{WORDS}</p>", f"Bold start {WORDS.strip()} {WORDS.strip()}"),
+    (f"<article><p>{WORDS}</p><p>Before <span class='ad'>Buy our <span>red</span> shoes today!</span> after it, in a sentence.</p></article>", f"{WORDS.strip()} Before after it, in a sentence."),
+    (f"<article><p>{WORDS}</p><custom-ad>Buy our shoes today!</custom-ad><p>{WORDS}</p></article>", f"{WORDS.strip()} {WORDS.strip()}"),
+    (f"<article><p>{WORDS}<svg><text>Icon label</text></svg></p></article>", WORDS.strip()),
+    (f"<article><p>{WORDS}</p><div class='warning'><p>Do not touch the hot plate, {WORDS}</p></div><blockquote class='message'>{WORDS}</blockquote></article>",
+     f"{WORDS.strip()} Do not touch the hot plate, {WORDS.strip()} {WORDS.strip()}"),
+    (f"<body><div>Home | About | Contact</div><div><p>{WORDS}</p><p>{WORDS}</p></div></body>", f"{WORDS.strip()} {WORDS.strip()}"),
+    (f"<body><div class='cookie-notice'><p>We use cookies. {WORDS}</p></div><main><h1>A title</h1><p>{WORDS}</p></main><aside><p>{WORDS}</p></aside></body>", f"A title {WORDS.strip()}"),
+    (f"<article><p>{WORDS}</p><ul><li>one thing</li><li>another thing</li></ul></article>", f"{WORDS.strip()} one thing another thing"),
+    (f"<article><p>{WORDS} <em>stressed</em> and <span class='note'>noted</span> words &lt;here&gt;.</p></article>", f"{WORDS} stressed and noted words <here>."),
+]
+
+
+def test_pages_labelled_by_hand(spark):
+    w, pair = htmltext.train([r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]])
+    got = [(" ".join(htmltext.main_text(h, w, pair).split()), " ".join(want.split())) for h, want in BY_HAND]
+    assert [x for x in got if x[0] != x[1]] == []
+
+
 def brute_force(pages):
     """What the markup says, by the standard library's parser: blocks inside article or main, outside what is marked."""
     out = {}
