@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from attnlens.llm.common import cut, sliced, space_words
 
-WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 32
+WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 64
 FREQUENT = WIDTH * FREQUENT_CLASSES
 CLASSES = FREQUENT_CLASSES + SPELLING_CLASSES + 1
 START = FREQUENT + SPELLING_CLASSES + 1
 TOP = 200_000
-HIDDEN = 16
-STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 40, 2
+HIDDEN = 24
+STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 80, 2
 #: Tokens of a shard, and weights added up in one place.
 SHARD_TOKENS, FAN = 500_000, 32
 #: Tokens that a task scores together, and words whose spelling it keeps.
