@@ -111,12 +111,12 @@ def turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
         chain, f"conv {kind}, k bigint, node binary, parent binary, role string, text string")
 
 
-def _ranked(chained: DataFrame) -> DataFrame:
-    """``conv, rank, part``: conversations in the depth-first order of their trees; ``part`` is the range a rank is in."""
-    branching = chained.where("k > 1").select("parent", "node").distinct().groupBy("parent").count().where("count > 1").select("parent")
-    # a tree's first turn comes first; a parent of several children has at least two rows here, and hot ones are few
-    apart = chained.join(branching, "parent", "left_semi").select("conv", "k", "node")
-    key = apart.groupBy("conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("path"))
+def _ranked(chained: DataFrame, total: int) -> DataFrame:
+    """``conv, tree, rank, part``: conversations in the depth-first order of their trees; ``part`` is the range a rank is in.  ``total``: the number of turns."""
+    later = chained.where("k > 1").select("parent", "node", "conv", "k")
+    branching = cut(later.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("members"))
+                    .where("kids > 1").select("parent", "members"))
+    key = split_join(later, branching, "parent", "members", total).groupBy("conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("path"))
     whole = chained.groupBy("conv").agg(F.max(F.when(F.col("k") == 1, F.col("node"))).alias("tree"), F.max("k").alias("n"))
     path = whole.join(key.withColumnRenamed("conv", "c"), F.col("c").eqNullSafe(F.col("conv")), "left").select("conv", "tree", "n", F.coalesce("path", F.array().cast("array<binary>")).alias("path"))
     order = ["tree", "path", "n", "conv"]
@@ -145,7 +145,7 @@ def _tokenized(owned: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _attended(paths: DataFrame) -> DataFrame:
-    """``node, position, attend`` of every node, from the turns of the conversation that owns it."""
+    """``node, start, position, attend`` of every node, from the turns of the conversation that owns it."""
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of (rank, k): merged intervals of the turns so far."""
@@ -161,10 +161,10 @@ def _attended(paths: DataFrame) -> DataFrame:
                     spent.append(position)
                     position += n
                     spans = spread(spans, start, n)
-                yield pa.RecordBatch.from_arrays([rows.column(3), pa.array(spent, pa.int64()), pa.array(seen, _SPANS)], ["node", "position", "attend"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), pa.array(spent, pa.int64()), pa.array(seen, _SPANS)], ["node", "start", "position", "attend"]).filter(pa.array(keep, pa.bool_()))
 
     return paths.select("rank", "k", "owner", "node", "start", "n_tokens").repartition("rank").sortWithinPartitions("rank", "k").mapInArrow(
-        attend, "node binary, position bigint, attend array<struct<begin: bigint, end: bigint>>")
+        attend, "node binary, start bigint, position bigint, attend array<struct<begin: bigint, end: bigint>>")
 
 
 def spread(spans: list[tuple[int, int]], start: int, n: int) -> list[tuple[int, int]]:
@@ -178,20 +178,22 @@ def tree(rows: DataFrame, tokenizer: str, conv_id: str = "conv_id", turn: str =
     """The nodes (``tree, start, position, attend, tokens`` ...; tokens ``text_at`` to ``text_at + text_n`` of a ``trained`` node are under the loss mask), and the
     turns ``conv, rank, k, node, members`` that point at them."""
     chained = cut(turns(rows, conv_id, turn, role, text))
-    rank = cut(_ranked(chained))
-    held = chained.join(rank.withColumnRenamed("conv", "c"), F.col("c").eqNullSafe(F.col("conv"))).select("conv", "k", "node", "role", "text", "tree", "rank", "part")
+    total = chained.count()
+    rank = cut(_ranked(chained, total))
+    same = lambda x: F.col("c").eqNullSafe(F.col("conv")) & (F.col("j") == F.col("k")) if x else F.col("c").eqNullSafe(F.col("conv"))
+    # which conversation owns a node is settled by hashes; texts move once
+    held = cut(chained.select("conv", "k", "node").join(rank.withColumnRenamed("conv", "c"), same(False)).drop("c"))
     first = held.groupBy("node").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("members"))
-    owned = held.join(first, ["node", "rank"]).select("node", "tree", "k", "rank", "part", "members", "role", "text")
-    nodes = cut(_tokenized(owned, tokenizer))
+    owned = held.join(first, ["node", "rank"]).select("node", "tree", F.col("k").alias("j"), "rank", "part", "members", F.col("conv").alias("c"))
+    nodes = cut(_tokenized(chained.select("conv", "k", "role", "text").join(owned, same(True)).select("node", "tree", "k", "rank", "part", "members", "role", "text"), tokenizer))
     # places in a tree: sums of its ranges, then running sums inside one range
     before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("tree", "part").orderBy("rank", "k").rowsBetween(Window.unboundedPreceding, -1)
     sums = nodes.groupBy("tree", "part").agg(F.sum("n_tokens").alias("n")).select("tree", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = (nodes.select("node", "members", "tree", "part", "rank", "k", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
               .join(sums, ["tree", "part"]).select("node", "members", F.col("rank").alias("owner"), (F.col("before") + F.col("inside")).alias("start"), "n_tokens"))
-    paths = cut(split_join(held.select("conv", "rank", "k", "node"), cut(placed), "node", "members", chained.count()))
-    whole = nodes.drop("rank", "part").join(paths.where("rank = owner").select("node", "start"), "node").join(_attended(paths), "node")
-    return whole.select(*_TREE), paths.select("conv", "rank", "k", "node", "members")
+    paths = cut(split_join(held.select("conv", "rank", "k", "node"), cut(placed), "node", "members", total))
+    return nodes.drop("rank", "part").join(_attended(paths), "node").select(*_TREE), paths.select("conv", "rank", "k", "node", "members")
 
 
 _READ = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
