@@ -36,7 +36,7 @@ GROUP_PIECES = 40_000
 GROUP_CHARS, PART_WORDS, CACHE = 2_000_000, 200_000, 200_000
 END = bytes(4)
 #: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
-BY_CONTEXT = frozenset("\u0130\u03a3")
+BY_CONTEXT = ("\u0130", "\u03a3")
 
 
 class WordTokens:
@@ -95,26 +95,28 @@ class WordTokens:
         yield from self._group(group)
 
     def _group(self, texts: list[str | None]) -> Iterator[bytes]:
-        alone = [not t or len(t) > GROUP_CHARS or self._whole(t) for t in texts]
-        words = [[] if a else self._words(t).split() for t, a in zip(texts, alone, strict=True)]  # at ASCII white space
-        self._learn(chain.from_iterable(words))
+        long = [len(t or "") > GROUP_CHARS for t in texts]
+        words = [None if far or (x := self._words(t or "")) is None else x.split() for t, far in zip(texts, long, strict=True)]  # at ASCII white space
+        self._learn(chain.from_iterable(filter(None, words)))
         get = self.known.__getitem__
-        for text, a, x in zip(texts, alone, words, strict=True):
-            ids = b"".join(map(get, x)) if not a else b"" if not text else self._ids(text) if self._whole(text) else None
-            yield (b"".join(self._parts(text)) if ids is None else ids) + END
+        for text, far, x in zip(texts, long, words, strict=True):
+            yield (b"".join(map(get, x)) if x is not None else b"".join(self._parts(text)) if far else self._ids(text)) + END
 
-    def _whole(self, text: str) -> bool:
-        """Texts that the tokenizer must see in one piece."""
+    def _words(self, text: str) -> bytes | None:
+        """The text as the tokenizer normalizes it: composed, then in lower case; None if the tokenizer must see it in one piece."""
         if any(s in text for s in self.special):
-            return True
-        return not text.isascii() and (not BY_CONTEXT.isdisjoint(text := unicodedata.normalize("NFC", text)) or not unicodedata.is_normalized("NFC", text.lower()))
-
-    def _words(self, text: str) -> bytes:
-        """The text as the tokenizer normalizes it: composed, then in lower case."""
-        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().encode("utf-8", "surrogatepass")
+            return None
+        if text.isascii():
+            return text.lower().encode()
+        text = unicodedata.normalize("NFC", text)
+        if any(c in text for c in BY_CONTEXT) or not unicodedata.is_normalized("NFC", text := text.lower()):
+            return None
+        return text.encode("utf-8", "surrogatepass")
 
     def _parts(self, text: str) -> Iterator[bytes]:
         rest = self._words(text)
+        if rest is None:
+            yield self._ids(text)
         while rest:
             words = rest.split(None, PART_WORDS)
             words, rest = words[:PART_WORDS], words[PART_WORDS] if len(words) > PART_WORDS else b""
