@@ -210,12 +210,12 @@ QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    from attnlens import more, wider
+    from attnlens import matrixfree, more, wider
 
-    return {q.__name__: q for q in QUERIES + more.QUERIES + wider.QUERIES}
+    return {q.__name__: q for q in QUERIES + more.QUERIES + wider.QUERIES + matrixfree.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from attnlens import more, wider
+    from attnlens import matrixfree, more, wider
 
-    return ORACLES | more.ORACLES | wider.ORACLES
+    return ORACLES | more.ORACLES | wider.ORACLES | matrixfree.ORACLES

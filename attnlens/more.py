@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from attnlens.catalog import _ALL, _K, _M, _SAMPLES, _SOFT, _TOUR, _asym, _doc_samples, _layer_means, _MEANS, _TOK, _rounded, _scores
 from attnlens.operators import analysis, capture, edges, products, samples, signals, snapshots, spectra
-from attnlens.sources.tokens import KEY, read, sample_labels, shared_dir, tokens
+from attnlens.sources.shared import shared_dir
+from attnlens.sources.tokens import KEY, read, sample_labels, tokens
 from attnlens.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]

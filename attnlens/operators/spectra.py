@@ -25,6 +25,8 @@ def _matrix(part: pa.Table, *columns: str) -> list[np.ndarray]:
     for c in columns:
         m = np.zeros((n, n))
         m[i, j] = part.column(c).to_numpy()
+        if not np.isfinite(m).all():
+            raise FloatingPointError("an entry is not finite")
         out.append(m)
     return out
 
@@ -34,13 +36,19 @@ def _keys(part: pa.Table, rows: int = 1) -> dict[str, list]:
 
 
 def _per_window(edges: DataFrame, kernel: Callable[[pa.Table], dict[str, list]], ddl: str) -> DataFrame:
-    types = {"request_id": pa.int64(), "layer_idx": pa.int32(), "head": pa.int32(), "i": pa.int32(), "side": pa.int32(), "value": pa.float64()}
+    """``kernel`` of each window.  A window that it fails on (entries that are not finite, no convergence) gives one row of nulls and leaves the others alone."""
+    types = {"request_id": pa.int64(), "layer_idx": pa.int32(), "head": pa.int32(), "i": pa.int32(), "side": pa.int32(), "sigmas": pa.list_(pa.float64())}
+
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(part: pa.Table) -> pa.Table:
-        out = kernel(part)
+        try:
+            out = kernel(part)
+        except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+            out = {c: [None] for c in names}
         n = len(next(iter(out.values())))
         columns = _keys(part, n) | out
-        return pa.table({c: pa.array(v, types.get(c)) for c, v in columns.items()})
+        return pa.table({c: pa.array(v, types.get(c, pa.float64())) for c, v in columns.items()})
 
     return edges.groupBy(*KEY).applyInArrow(run, f"{_KEY_DDL}, {ddl}")
 
@@ -95,14 +103,15 @@ def conductance(edges: DataFrame, clear: float = 0.1) -> DataFrame:
 
 
 def matrix_features(edges: DataFrame, rank: int | None = 4) -> DataFrame:
-    """Singular values of ``p``, and the second ones of it and of its antisymmetric part."""
+    """Singular values of ``p``, the second ones of it and of its antisymmetric part, and the norm of the commutator of both parts, ``(M'M - MM') / 2``, over that of ``p``."""
 
     def kernel(part: pa.Table) -> dict[str, list]:
         (m,) = _matrix(part, "p")
         s, a = np.linalg.svd(m, compute_uv=False), np.linalg.svd((m - m.T) / 2, compute_uv=False)
-        return {"sigmas": [s[:rank].tolist()], "sigma2": [float(s[1]) if len(s) > 1 else 0.0], "sigma2_asym": [float(a[1]) if len(a) > 1 else 0.0]}
+        moved = np.linalg.norm(m.T @ m - m @ m.T) / 2 / (np.linalg.norm(m) + EPS)
+        return {"commutator_norm": [float(moved)], "sigmas": [s[:rank].tolist()], "sigma2": [float(s[1]) if len(s) > 1 else 0.0], "sigma2_asym": [float(a[1]) if len(a) > 1 else 0.0]}
 
-    return _per_window(edges, kernel, "sigmas array<double>, sigma2 double, sigma2_asym double")
+    return _per_window(edges, kernel, "commutator_norm double, sigmas array<double>, sigma2 double, sigma2_asym double")
 
 
 def spectral_summary(df: DataFrame, sigmas: str = "sigmas") -> DataFrame:
@@ -115,15 +124,8 @@ def spectral_summary(df: DataFrame, sigmas: str = "sigmas") -> DataFrame:
 
 
 def commutator(edges: DataFrame) -> DataFrame:
-    """Norm of the commutator of the symmetric and antisymmetric parts over the norm: [Ms, Ma] = (M'M - MM') / 2."""
-    rows = edges.select(*KEY, "i", "j", "p")
-    # products of M'M pair entries of a row, those of MM' pair entries of a column
-    by_row = rows.alias("x").join(rows.alias("y"), [*KEY, "i"]).select(*KEY, F.col("x.j").alias("a"), F.col("y.j").alias("b"), (F.col("x.p") * F.col("y.p")).alias("v"))
-    by_column = rows.alias("x").join(rows.alias("y"), [*KEY, "j"]).select(*KEY, F.col("x.i").alias("a"), F.col("y.i").alias("b"), (-F.col("x.p") * F.col("y.p")).alias("v"))
-    cells = by_row.unionByName(by_column).groupBy(*KEY, "a", "b").agg((F.sum("v") / 2).alias("v"))
-    norm = cells.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("c"))
-    whole = rows.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("fro"))
-    return norm.join(whole, KEY).select(*KEY, (F.col("c") / (F.col("fro") + EPS)).alias("commutator_norm"))
+    """Norm of the commutator of the symmetric and antisymmetric parts over the norm."""
+    return matrix_features(edges).select(*KEY, "commutator_norm")
 
 
 def _magnetic(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:

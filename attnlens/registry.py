@@ -8,21 +8,41 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.operators import edges, signals, spectra
+from attnlens.operators import edges, krylov, signals, spectra
+from attnlens.sources.shared import cut
 from attnlens.sources.tokens import KEY
 
+#: Windows of more tokens are not held as matrices.
+THRESHOLD = 512
 
-def _routing(tok: DataFrame) -> DataFrame:
-    """Singular values, their summary, second values, sweep conductance, antisymmetry split and commutator of the degree-normalized attention."""
-    m = edges.normalized(edges.attention(tok))
-    parts = [spectra.spectral_summary(spectra.matrix_features(m)), spectra.conductance(m), signals.asymmetry(m), spectra.commutator(m)]
+
+def _routing(tok: DataFrame, rank: int = 4, **_: object) -> DataFrame:
+    """Singular values, their summary, second values, sweep conductance, antisymmetry split and commutator of the degree-normalized attention, which is made once."""
+    m = cut(edges.normalized(edges.attention(tok)))
+    parts = [spectra.spectral_summary(spectra.matrix_features(m, rank)), spectra.conductance(m), signals.asymmetry(m)]
     ratio = F.when(F.col("g") > signals.EPS, F.col("c") / F.col("g")).otherwise(0.0)
     return reduce(lambda a, b: a.join(b, KEY), parts).withColumn("curl_ratio", ratio)
 
 
-def _tracker(tok: DataFrame) -> DataFrame:
-    p = edges.attention(tok)
-    return spectra.spectral_summary(spectra.matrix_features(p)).join(spectra.commutator(p), KEY)
+def _tracker(tok: DataFrame, rank: int = 4, **_: object) -> DataFrame:
+    return spectra.spectral_summary(spectra.matrix_features(edges.attention(tok), rank))
+
+
+def _routing_free(tok: DataFrame, rank: int, method: str) -> DataFrame:
+    found = spectra.spectral_summary(krylov.matrix_free(tok, rank, method))
+    return found.withColumn("curl_ratio", F.when(F.col("g") > signals.EPS, F.col("c") / F.col("g")).otherwise(0.0))
+
+
+def _tracker_free(tok: DataFrame, rank: int, method: str) -> DataFrame:
+    return spectra.spectral_summary(krylov.matrix_free(tok, rank, method, normalized=False, swept=False))
+
+
+def _magnetic_free(tok: DataFrame, rank: int, method: str) -> DataFrame:
+    return krylov.frustration(tok)
+
+
+#: What computes a signal of windows beyond the threshold from blocks of tokens.
+MATRIX_FREE = {"routing": _routing_free, "tracker": _tracker_free, "magnetic": _magnetic_free}
 
 
 #: Signals, and the modes beside disjoint and sliding windows that each admits.
@@ -41,16 +61,21 @@ ADMITS = {"asymmetry": {"streaming", "incremental"}, "cyclic": {"incremental"}}
 
 @dataclass(frozen=True)
 class Plan:
-    """One signal with its window (0: the whole prefix), interval, modes and heads (none: all)."""
+    """One signal with its window, interval, modes and heads (none: all).
+
+    window 0 with no interval: all tokens of a request at once.  An interval: the last ``window`` tokens (0: all so far) at every ``interval``-th token."""
 
     signal: str
-    interval: int = 32
+    interval: int | None = None
     window: int = 0
     tumbling: bool = False
     streaming: bool = False
     incremental: bool = False
     enabled: bool = True
     heads: frozenset[int] = field(default_factory=frozenset)
+    rank: int = 4
+    method: str = "randomized"
+    threshold: int = THRESHOLD
 
     def __post_init__(self) -> None:
         if self.signal not in COMPUTE:
@@ -58,7 +83,8 @@ class Plan:
         if not self.enabled:
             return
         wrong = [text for bad, text in (
-            (self.interval <= 0, "an interval above 0"), (self.tumbling and self.window <= 0, "tumbling needs a window"),
+            (self.interval is not None and self.interval <= 0, "an interval above 0"), (self.method not in krylov.METHODS, f"a method of {', '.join(krylov.METHODS)}"),
+            (self.window < 0, "a window of 0 or more"), (self.window and not self.tumbling and self.interval is None, "a sliding window needs an interval"), (self.tumbling and self.window <= 0, "tumbling needs a window"),
             (self.streaming and not (self.tumbling and self.window > 0), "streaming needs tumbling and a window"),
             (self.incremental and self.window != 0, "incremental needs the whole prefix (window 0)")) if bad]
         wrong += [f"{self.signal} has no {mode} form" for mode in ("streaming", "incremental") if getattr(self, mode) and mode not in ADMITS.get(self.signal, ())]
@@ -80,22 +106,50 @@ def selected(tok: DataFrame, plan: Plan, heads: int | None = None) -> DataFrame:
     return tok.where(F.col("head").isin(asked)) if plan.heads else tok
 
 
+def whole(tok: DataFrame, plan: Plan) -> DataFrame:
+    """The plan's signal of each request, layer and head: windows up to the threshold as matrices, longer ones from blocks."""
+    one = COMPUTE[plan.signal]
+    if plan.signal not in MATRIX_FREE:
+        return one(tok)
+    dense = (lambda t: one(t, rank=plan.rank)) if plan.signal in ("routing", "tracker") else one
+    n = tok.groupBy(*KEY).agg((F.count(F.lit(1)) > plan.threshold).alias("long"))
+    most = n.agg(F.max(F.col("long").cast("int")), F.min(F.col("long").cast("int"))).first()
+    parts = []
+    if most[1] in (0, None):
+        parts.append(dense(tok.join(n.where("not long"), KEY, "left_semi") if most[0] else tok))
+    if most[0]:
+        parts.append(MATRIX_FREE[plan.signal](tok.join(n.where("long"), KEY, "left_semi"), plan.rank, plan.method))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _of_windows(at: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """The signal of every (request, ``name``) as if it were a request: windows get numbers of their own, and their names again afterwards."""
+    numbers = cut(at.select("request_id", name).distinct().withColumn("_number", F.monotonically_increasing_id()))
+    found = whole(at.join(numbers, ["request_id", name]).drop("request_id", name).withColumnRenamed("_number", "request_id"), plan)
+    names = numbers.select(F.col("_number").alias("_n"), F.col("request_id").alias("_request"), F.col(name))
+    return found.join(names, F.col("_n") == F.col("request_id")).drop("_n", "request_id").withColumnRenamed("_request", "request_id").select(*KEY, name, *[c for c in found.columns if c not in KEY])
+
+
 def compute(tok: DataFrame, plan: Plan) -> DataFrame:
-    """The plan's signal over all tokens (window 0), each prefix (incremental), each disjoint window, or all windows together (streaming)."""
+    """The plan's signal over all tokens, each prefix (incremental), each disjoint window, all windows together (streaming), or the last tokens at every interval (sliding)."""
     tok = selected(tok, plan)
     if plan.streaming:
         return signals.asymmetry_of_windows(tok, plan.window)
     if plan.incremental:
         every = signals.asymmetry_of_prefixes(edges.attention(tok)) if plan.signal == "asymmetry" else signals.cyclic_prefixes(tok)
-        return every.where(F.col("n") % plan.interval == 0)
-    if plan.tumbling:  # a window of one head is a request of its own; a part of a window never fires
-        at = tok.withColumn("_window", F.floor(F.col("pos") / plan.window)).withColumn("pos", (F.col("pos") % plan.window).cast("int"))
-        most = at.agg(F.max("_window")).first()[0] or 0
-        wide = at.withColumn("request_id", F.col("request_id") * (most + 1) + F.col("_window"))
-        whole = wide.groupBy("request_id").agg(F.max("pos").alias("last")).where(F.col("last") == plan.window - 1).select("request_id")
-        found = COMPUTE[plan.signal](wide.drop("_window").join(whole, "request_id", "left_semi"))
-        return found.withColumn("window_id", F.col("request_id") % (most + 1)).withColumn("request_id", F.floor(F.col("request_id") / (most + 1)))
-    return COMPUTE[plan.signal](tok)
+        return every.where(F.col("n") % (plan.interval or 1) == 0)
+    if plan.tumbling:  # a part of a window never fires
+        at = tok.withColumn("window_id", F.floor(F.col("pos") / plan.window)).withColumn("pos", (F.col("pos") % plan.window).cast("int"))
+        full = at.groupBy(*KEY, "window_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == plan.window).drop("n")
+        return _of_windows(at.join(full, [*KEY, "window_id"], "left_semi"), plan, "window_id")
+    if plan.interval:  # a token is in the windows that end behind it, ``window`` tokens on at most; a window of one token never fires
+        last = tok.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+        end = F.least(F.col("_last") + 1, F.col("pos") + plan.window) if plan.window else F.col("_last") + 1
+        first, final = F.floor(F.col("pos") / plan.interval) + 1, F.floor(end / plan.interval)
+        at = tok.join(last, KEY).where(first <= final).withColumn("step", F.explode(F.sequence(first, final))).withColumn("step", F.col("step") * plan.interval).drop("_last").where("step >= 2")
+        base = F.greatest(F.col("step") - plan.window, F.lit(0)) if plan.window else F.lit(0)
+        return _of_windows(at.withColumn("pos", (F.col("pos") - base).cast("int")), plan, "step")
+    return whole(tok, plan)
 
 
 def all_heads(plans: list[Plan]) -> list[int]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +24,3 @@ def tokens(spark: SparkSession, sf_dir: str, length: int = 20) -> DataFrame:
 def sample_labels(spark: SparkSession, sf_dir: str, length: int = 20) -> DataFrame:
     return (read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / length).alias("request_id"))
             .agg((F.sum("label") % 2).cast("int").alias("label")))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where none is named (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
