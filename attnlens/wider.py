@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attnlens.catalog import _K, _M, _MEANS, _SAMPLES, _SOFT, _TOK, _doc_samples, _rounded, _scores
+from attnlens.catalog import _K, _M, _MEANS, _SAMPLES, _SOFT, _TOK, _asym, _doc_samples, _rounded, _scores
 from attnlens.operators import edges, products, report, signals
 from attnlens.registry import Plan, compute
 from attnlens.sources.tokens import KEY, read, sample_labels, tokens
@@ -189,7 +189,9 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature row with its sample's length where there is one."""
-    lengths = tokens(spark, sf_dir).groupBy("request_id").agg((F.max("pos") + 1).alias("length")).where("request_id % 3 != 0")
+    # a request without a document of its number has no sample
+    lengths = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"), F.lit(1).alias("sampled")).distinct().join(
+        tokens(spark, sf_dir).groupBy("request_id").agg((F.max("pos") + 1).alias("length")), "request_id").drop("sampled")
     return _rounded(_features(spark, sf_dir).join(lengths, "request_id", "left"), "x")
 
 
@@ -266,9 +268,21 @@ select prompt, count(*) n, round(case when count(*) >= 10 and sum(label) > 0 and
     "found_features": f"{_REPORT} select feature, count(distinct request_id) samples, count(distinct layer_idx) layers from fl where x is not null group by feature",
     "either_flag_label": "select doc_id, (toxic > 0 or quality = 0)::int as label, case when toxic > 0 or quality = 0 then 'Hallucinated' else 'Correct' end as name from documents join labels using (doc_id) where source is null or source <> 'web'",
     "text_labels": "select conv_id, turn, (lower(case when role = 'user' then 'TRUE' when turn % 2 = 0 then '1' else 'no' end) in ('1', 'true', 'injection'))::int as label from conversations",
-    "features_with_samples": f"{_REPORT}, n as (select request_id, max(pos) + 1 length from tok where request_id % 3 <> 0 group by request_id) select request_id, layer_idx, feature, round(x, 6) + 0.0 x, label, length from fl left join n using (request_id)",
+    "features_with_samples": f"{_REPORT}, n as (select request_id, max(pos) + 1 length from tok where request_id in (select doc_id from labels) group by request_id) select request_id, layer_idx, feature, round(x, 6) + 0.0 x, label, length from fl left join n using (request_id)",
 }
 
+def _curl_ratio() -> str:
+    """The split's energies, their ratio, and the commutator's norm, of two heads."""
+    from attnlens.more import _commutator
+
+    split = _M + _asym("m")
+    energies = f"{split[: split.rindex('select')]}select {_K}, (sq - sym) / 2 / sq g2, greatest((sq - sym) / 2 - 2 * rr / n, 0) / sq c2 from t join rr using ({_K})"
+    return f"""with a as ({energies}), b as ({_commutator(_M, "m")})
+select {_K}, round(sqrt(greatest(g2, 0)), 6) g, round(case when g2 > 1e-20 then sqrt(c2 / g2) else 0 end, 6) curl_ratio, commutator_norm from a join b using ({_K}) where head in (1, 7)"""
+
+
+ORACLES["routing_curl_ratio"] = _curl_ratio()
+
 QUERIES: list[Query] = [
     product_scores, product_scores_transposed, product_attention, product_attention_transposed, product_attention_both, product_m, product_m_transposed, product_gram,
     product_antisymmetric, product_symmetric, product_commutator, diagonal_by_logsumexp, laplacian_by_logsumexp, routing_signal, tracker_signal, routing_curl_ratio,
