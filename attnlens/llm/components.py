@@ -15,6 +15,12 @@ from attnlens.llm.common import HOT_KEYS, cut
 
 #: A node of fewer links is no hub.
 LEAST_HUB = 1000
+#: Links of a partition: tables of a round are gathered into as few, so that small ones do not leave a file for every shuffle partition in every round.
+PART_LINKS = 20_000
+
+
+def _gathered(df: DataFrame, links: int) -> DataFrame:
+    return df.coalesce(max(1, -(-links // PART_LINKS)))
 
 
 def _around(links: DataFrame) -> DataFrame:
@@ -51,9 +57,11 @@ def components(links: DataFrame) -> DataFrame:
     Self links and repeated links do not matter; null ends are left out; no links give no rows.
     """
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    most = now.count()  # no round has more
+    now = _gathered(now, most)
     while True:
-        around = cut(_around(now))
+        around = cut(_gathered(_around(now), 2 * most))
         # stars: every node is the smallest around it or has one link
         if not around.where("low < a and degree > 1").limit(1).count():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        now = cut(_small_star(_large_star(now, around).where("a > b")).where("a > b").distinct())
+        now = cut(_gathered(_small_star(_large_star(now, around).where("a > b")).where("a > b").distinct(), most))
