@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attnlens.catalog import _K, _M, _TOK, _asym, _rounded, _scores
-from attnlens.operators import blocked, krylov, slices
+from attnlens.catalog import _K, _M, _SOFT, _TOK, _asym, _rounded
+from attnlens.operators import blocked, krylov, slices, widetable
 from attnlens.operators.signals import EPS, _split
 from attnlens.registry import Plan, compute
-from attnlens.sources.tokens import KEY, read, tokens
+from attnlens.sources.tokens import KEY, read, sample_labels, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens of a block, small enough that the windows here have several.
@@ -115,9 +115,9 @@ select {_K}, round(sqrt(sum(v * v) / {PROBES}) / (sqrt(any_value(sq)) + 1e-10),
     "sweep_by_blocks": f"""{_M}, mean as (select {_K}, avg(q[1]) + avg(k[1]) mean from tok group by {_K}),
 vx as (select {_K}, 0 side, pos node, q[1] v from tok union all select {_K}, 1, pos, k[1] from tok),
 o as (select {_K}, side, node, abs(mean) mean, row_number() over (partition by {_K} order by case when mean < 0 then -v else v end, side, node) rn from vx join mean using ({_K})),
-e as (select {_K}, i, j, p, a.rn a, b.rn b from m join o a using ({_K}) join o b using ({_K}) where a.side = 0 and a.node = i and b.side = 1 and b.node = j and p > 0),
-d as (select {_K}, rn, sum(v) degree from (select {_K}, a rn, p v from e union all select {_K}, b, p from e) group by {_K}, rn),
-s as (select {_K}, o.rn, any_value(mean) mean, (select sum(p) from e where (e.request_id, e.layer_idx, e.head) = (o.request_id, o.layer_idx, o.head) and (least(a, b) <= o.rn) and (greatest(a, b) > o.rn)) cut,
+ed as (select {_K}, i, j, p, a.rn a, b.rn b from m join o a using ({_K}) join o b using ({_K}) where a.side = 0 and a.node = i and b.side = 1 and b.node = j and p > 0),
+d as (select {_K}, rn, sum(v) degree from (select {_K}, a rn, p v from ed union all select {_K}, b, p from ed) group by {_K}, rn),
+s as (select {_K}, o.rn, any_value(mean) mean, (select sum(p) from ed e where (e.request_id, e.layer_idx, e.head) = (o.request_id, o.layer_idx, o.head) and (least(a, b) <= o.rn) and (greatest(a, b) > o.rn)) cut,
   (select sum(degree) from d where (d.request_id, d.layer_idx, d.head) = (o.request_id, o.layer_idx, o.head) and d.rn <= o.rn) volume,
   (select sum(degree) from d where (d.request_id, d.layer_idx, d.head) = (o.request_id, o.layer_idx, o.head)) whole from o group by {_K}, o.rn)
 select {_K}, round(greatest(0, least(1, min(cut / least(volume, whole - volume)))), 6) + 0.0 phi_hat from s where least(volume, whole - volume) > 1e-12 group by {_K}""",
@@ -143,3 +143,35 @@ select user_id, window_id, (rn - first + 1)::bigint n_slices, held n_tokens from
 
 QUERIES: list[Query] = [split_by_blocks, lanczos_energy, randomized_energy, magnetic_by_lanczos, asymmetry_by_probes, commutator_by_probes, sweep_by_blocks, asymmetry_sliding, cyclic_sliding,
                         sliding_slices, tumbling_slices]
+
+
+# -- the wide table ---------------------------------------------------------------------------------------------------
+
+_ASKED = ["asymmetry", "laplacian", "selfattn"]
+_TOPS = {"laplacian": 2, "selfattn": 1}
+
+
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a request with three signals' features of every layer and head and the sample's label; checked against the samples."""
+    tok = tokens(spark, sf_dir)
+    found = {name: compute(tok, Plan(name)) for name in _ASKED}
+    samples = sample_labels(spark, sf_dir).select("request_id", "label", F.col("request_id").alias("sample_id"), F.lit("full").alias("phase"))
+    asked = widetable.columns(_ASKED, 2, [0, 1], _TOPS)
+    return _rounded(widetable.wide(widetable.long(found, _TOPS), samples, asked), *asked)
+
+
+def _wide_sql() -> str:
+    split = _asym("p")
+    parts = (f"select {_K}, unnest(['asymmetry_g', 'asymmetry_gamma', 'asymmetry_c']) as name, unnest([g, gamma, c]) as v from s",
+             f"select {_K}, 'selfattn_logmean', avg(ln(p + 1e-10)) from p where i = j group by {_K}", f"select {_K}, 'selfattn_eigval_0', max(p) from p where i = j group by {_K}",
+             f"select {_K}, 'laplacian_eigval_' || (o - 1), v from (select *, row_number() over (partition by {_K} order by v desc) o from d) where o <= 2")
+    columns = ", ".join(f"round(max(case when name || '_L' || layer_idx || '_H' || head = '{c}' then v end), 6) + 0.0 as \"{c}\"" for c in widetable.columns(_ASKED, 2, [0, 1], _TOPS))
+    return f"""{_SOFT}{split[: split.rindex("select")].rstrip()}, s as ({split[split.rindex("select"):]}),
+d as (select {_K}, j, sum(case when i = j then 0 else p end) v from p group by {_K}, j),
+l as (select vec_id // 20 request_id, (sum(label) % 2)::int as label from embeddings group by 1),
+f as ({" union all ".join(parts)})
+select request_id, label, request_id sample_id, 'full' as phase, {columns} from f join l using (request_id) group by request_id, label"""
+
+
+QUERIES.append(wide_features)
+ORACLES["wide_features"] = _wide_sql()
