@@ -159,4 +159,4 @@ def test_features(spark, method="randomized"):
     fro, r = np.linalg.norm(m), a.sum(1)
     assert np.allclose([got[2]["g"], got[2]["gamma"]], [np.linalg.norm(a) / fro, np.sqrt(2 * (r @ r) / 8) / fro])
     assert 0 <= got[2]["phi_hat"] <= 1 and len(got[2]["sigmas"]) == 4 and got[0]["sigmas"] == [] and got[0]["phi_hat"] == 0
-    assert set(krylov.matrix_free(tok, normalized=False, swept=False, size=5).columns) == {*KEY, "sigmas", "sigma2", "sigma2_asym", "commutator_norm"}
+    assert set(got[0].asDict()) == {*KEY, "sigmas", "sigma2", "sigma2_asym", "commutator_norm", "phi_hat", "g", "gamma", "c"}
