@@ -114,7 +114,7 @@ def routing_curl_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asymmetry_local_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each disjoint window by itself."""
-    found = compute(tokens(spark, sf_dir), Plan("asymmetry", window=WINDOW, tumbling=True))
+    found = compute(tokens(spark, sf_dir), Plan("asymmetry", window=WINDOW, tumbling=True, length=20))
     return _rounded(found.select(*KEY, "window_id", "g", "gamma", "c"), "g", "gamma", "c")
 
 
