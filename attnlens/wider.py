@@ -119,7 +119,7 @@ def asymmetry_local_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_local_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compute(tokens(spark, sf_dir), Plan("cyclic", window=WINDOW, tumbling=True)).select(*KEY, "window_id", "t_cyc")
+    return compute(tokens(spark, sf_dir), Plan("cyclic", window=WINDOW, tumbling=True, length=20)).select(*KEY, "window_id", "t_cyc")
 
 
 # -- reports ----------------------------------------------------------------------------------------------------------
