@@ -57,8 +57,8 @@ def scores_times(tok: DataFrame, x: DataFrame, transposed: bool = False) -> Data
 
 def asked_entries(tok: DataFrame, asked: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """The entries (key, i, j) of ``asked`` of the degree-normalized causal attention from both tokens, the row's log-sum-exp (``i, lse``) and
-    the column's degree (``j, degree``): no other entry is made."""
-    found = (asked.join(tok.select(*KEY, F.col("pos").alias("i"), "q"), [*KEY, "i"]).join(tok.select(*KEY, F.col("pos").alias("j"), "k"), [*KEY, "j"])
-             .join(rows, [*KEY, "i"]).join(columns, [*KEY, "j"]))
+    the column's degree (``j, degree``): no other entry is made.  One of a token that is not there is 0."""
+    found = (asked.join(tok.select(*KEY, F.col("pos").alias("i"), "q"), [*KEY, "i"], "left").join(tok.select(*KEY, F.col("pos").alias("j"), "k"), [*KEY, "j"], "left")
+             .join(rows, [*KEY, "i"], "left").join(columns, [*KEY, "j"], "left"))
     p = F.exp(dot("q", "k") / DIMS ** 0.5 - F.col("lse"))
-    return found.select(*KEY, "i", "j", F.when((F.col("j") <= F.col("i")) & (F.col("degree") > 1e-10), p / F.sqrt("degree")).otherwise(0.0).alias("p"))
+    return found.select(*KEY, "i", "j", F.when((F.col("j") <= F.col("i")) & F.col("lse").isNotNull() & (F.col("degree") > 1e-10), p / F.sqrt("degree")).otherwise(0.0).alias("p"))
