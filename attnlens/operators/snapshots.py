@@ -38,13 +38,14 @@ def read_json(spark, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def long_features(snaps: DataFrame) -> DataFrame:
-    """``name, value`` of each snapshot: scalars by their names, lists by their singular and place."""
+def long_features(snaps: DataFrame, places: int = 0) -> DataFrame:
+    """``name, value`` of each snapshot: scalars by their names, lists by their singular and place.  A list of fewer than ``places`` values has null ones behind."""
     prefix = F.coalesce(*[F.when(F.col("signal") == s, F.lit(p)) for s, p in PREFIX.items()])
     scalars = [F.struct(F.lit(c).alias("name"), F.col(f"features.{c}").alias("value")) for c in SCALARS]
-    lists = F.transform(F.coalesce("features.eigvals", F.array().cast("array<double>")),
-                        lambda x, i: F.struct(F.concat(F.lit("eigval_"), i.cast("string")).alias("name"), x.alias("value")))
-    rows = snaps.select(*KEY, "step", prefix.alias("prefix"), F.explode(F.concat(F.array(*scalars), lists)).alias("f")).where("f.value is not null")
+    place = lambda i: F.struct(F.concat(F.lit("eigval_"), i.cast("string")).alias("name"), F.get("features.eigvals", i).alias("value"))
+    n = F.greatest(F.size("features.eigvals"), F.lit(places))
+    lists = F.when(F.col("features.eigvals").isNull() | (n == 0), F.array().cast("array<struct<name: string, value: double>>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), place))
+    rows = snaps.select(*KEY, "step", prefix.alias("prefix"), F.explode(F.concat(F.array(*scalars), lists)).alias("f")).where("f.value is not null" + (" or f.name like 'eigval%'" if places else ""))
     return rows.select(*KEY, "step", F.concat("prefix", "f.name").alias("name"), F.col("f.value").alias("value"))
 
 
