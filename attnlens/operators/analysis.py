@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attnlens.sources.shared import cut
 
 #: Keys with more rows than this are numbered in ranges.
 HOT = 100_000
@@ -22,7 +23,8 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "at",
     renamed = [F.col(c).alias(f"_{c}") for c in by]
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*renamed)
-    large = rows.join(large, same, "left_semi").groupBy(*by).agg(cuts).select(*renamed, "_cuts")  # quantiles of large keys alone
+    # quantiles of large keys alone; found once, since approximate ones differ with the order in which parts are merged, and both uses below must agree
+    large = cut(rows.join(large, same, "left_semi").groupBy(*by).agg(cuts).select(*renamed, "_cuts"))
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(0))
     placed = rows.join(large, same, "left").withColumn("_part", part).drop(*[f"_{c}" for c in by])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +75,7 @@ def rank_sums(rows: DataFrame, by: list[str], x: str, label: str, parts: int = 6
     Equal values are counted first; groups of values are then ranked in ``parts`` ranges with running counts between them, so no task holds
     all values of a group."""
     counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("long")).alias("c1"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000).alias("cuts"))
+    cuts = cut(counts.groupBy(*by).agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000).alias("cuts")))  # found once, as in ``numbered``
     placed = counts.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(x)))).drop("cuts")
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, "part").agg(F.sum("c").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
