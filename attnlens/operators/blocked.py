@@ -49,15 +49,40 @@ def packed(x: np.ndarray) -> bytes:
 def blocks(tok: DataFrame, size: int = SIZE) -> DataFrame:
     """``block, last, n, pos, q, k``: the tokens of each window of one head, ``size`` in a block; ``last`` is the window's last block."""
 
-    def pack(part: pa.Table) -> pa.Table:
-        part = part.sort_by("pos")
-        key = tuple(part.column(k)[0].as_py() for k in KEY)
-        flat = lambda c: packed(np.array(part.column(c).to_pylist(), np.float64))
-        return table_of([key], {"block": (pa.int32(), [part.column("block")[0].as_py()]), "n": (pa.int32(), [len(part)]),
-                                "pos": (pa.binary(), [part.column("pos").to_numpy().astype(np.int64).tobytes()]), "q": (pa.binary(), [flat("q")]), "k": (pa.binary(), [flat("k")])})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # parts of one block
+        done: list[tuple] = []
+
+        def end() -> None:
+            done.append((held[0][0], *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))))
+            held.clear()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            columns = {"block": (pa.int32(), [x[0][3] for x in done]), "n": (pa.int32(), [len(x[1]) for x in done])}
+            columns |= {c: (pa.binary(), [x[i].tobytes() for x in done]) for i, c in ((1, "pos"), (2, "q"), (3, "k"))}
+            yield from table_of([x[0] for x in done], columns).to_batches()
+            done.clear()
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*KEY, "block")], 1)
+            pos, (q, k) = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64), (batch.column(c) for c in "qk")
+            flat = lambda x, a, b: x.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1)
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if a == b:
+                    continue
+                key = tuple(keys[a].tolist())
+                if held and held[0][0] != key:
+                    end()
+                held.append((key, pos[a:b], flat(q, a, b), flat(k, a, b)))
+            yield from rows()
+        if held:
+            end()
+            yield from rows()
 
     at = tok.select(*KEY, "pos", "q", "k", F.floor(F.col("pos") / size).cast("int").alias("block"))
-    rows = at.groupBy(*KEY, "block").applyInArrow(pack, f"{KEY_DDL}, block int, n int, pos binary, q binary, k binary")
+    # rows in order, and not a group of Arrow's for each block, which costs more than the block where windows are short
+    rows = at.repartition(*KEY, "block").sortWithinPartitions(*KEY, "block", "pos").mapInArrow(pack, f"{KEY_DDL}, block int, n int, pos binary, q binary, k binary")
     last = at.groupBy(*KEY).agg(F.max("block").alias("last"))
     return rows.join(last, KEY)
 
@@ -125,15 +150,26 @@ def contributions(rows: DataFrame, kernel: Kernel, merge: np.ufunc = np.add) ->
 def over_pairs(rows: DataFrame, kernel: Kernel, merge: np.ufunc = np.add) -> DataFrame:
     """``contributions``, one row a block."""
 
-    def whole(part: pa.Table) -> pa.Table:
-        n = part.column("n")[0].as_py()
-        total = None
-        for raw in part.column("out"):
-            x = unpacked(raw.as_py(), n)
-            total = x if total is None else merge(total, x)
-        return part.slice(0, 1).drop_columns(["out"]).append_column("out", pa.array([packed(total)], pa.binary()))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, done = None, None, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            yield from table_of([x[0] for x in done], {"block": (pa.int32(), [x[0][3] for x in done]), "n": (pa.int32(), [x[0][4] for x in done]), "out": (pa.binary(), [packed(x[1]) for x in done])}).to_batches()
+            done.clear()
+
+        for batch in batches:
+            for *key, raw in zip(*(batch.column(c).to_pylist() for c in (*KEY, "block", "n")), batch.column("out"), strict=True):
+                x = unpacked(raw.as_py(), key[4])
+                if key == now:
+                    total = merge(total, x)
+                else:
+                    done += [] if now is None else [(now, total)]
+                    now, total = key, x
+            yield from rows()
+        done += [] if now is None else [(now, total)]
+        yield from rows()
 
-    return contributions(rows, kernel, merge).groupBy(*KEY, "block").applyInArrow(whole, _OUT)
+    return contributions(rows, kernel, merge).repartition(*KEY, "block").sortWithinPartitions(*KEY, "block").mapInArrow(whole, _OUT)
 
 
 def attention(tok: DataFrame, causal: bool = True, normalized: bool = True, size: int = SIZE) -> DataFrame:

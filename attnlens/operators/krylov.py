@@ -3,11 +3,15 @@
 The basis is a table: a row for each block of a window with the block's rows of all basis vectors.  A round is one product (spread over block pairs) and one step that makes the new vector
 orthogonal to the basis, classical Gram-Schmidt twice, with a window's vectors together: tokens x rounds numbers.  Every round ends in the shared folder, so a lost executor
 costs one round.  Random starts and probes are drawn for each position from a seed: the same for every partitioning and block size.
+
+A window of few tokens (SHORT) takes the same rounds inside one task, so that many short windows cost one exchange and not two a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,18 @@ from attnlens.sources.tokens import KEY
 BREAKDOWN = 1e-8
 #: Triangular factors that are merged at once.
 FAN = 32
+#: Windows of at most so many tokens are not spread over tasks.
+SHORT = 64
 
 
 def normal(seed: int, columns: int, pos: np.ndarray) -> np.ndarray:
     """Gaussian numbers of each position."""
-    return np.array([np.random.Generator(np.random.Philox(key=[seed, int(p)])).standard_normal(columns) for p in pos]).reshape(len(pos), columns)
+    return np.array([_normal(seed, columns, int(p)) for p in pos]).reshape(len(pos), columns)
+
+
+@lru_cache(4096)
+def _normal(seed: int, columns: int, p: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(key=[seed, p])).standard_normal(columns)
 
 
 def _vectors(part: pa.Table, column: str) -> np.ndarray:
@@ -46,6 +57,51 @@ def orthogonal(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return x
 
 
+Product = Callable[[np.ndarray], np.ndarray]
+
+
+def _by_size(rows: DataFrame, kernel: blocked.Kernel, short: Callable[[Product, np.ndarray], tuple[np.ndarray, list[np.ndarray]]], long: Callable[[DataFrame], DataFrame], names: list[str]) -> DataFrame:
+    """``block, n`` and ``names``, a list of numbers and vectors, of each window: ``short(product, pos)`` inside a task where its tokens are few, ``long`` of the rows of the others."""
+    inputs = [c for c in ("pos", "q", "k", "lse", "d") if c in rows.columns]
+    size = rows.groupBy(*KEY).agg((F.sum("n") <= SHORT).alias("_short"))
+    least, most = size.agg(F.min(F.col("_short").cast("int")), F.max(F.col("_short").cast("int"))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], {"block": [], "n": []} | {c: [] for c in names}
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]
+                parts = row["parts"]
+                n = [x["n"] for x in parts]
+                raw = {c: b"".join(x[c] for x in parts) for c in inputs}
+                pos = np.frombuffer(raw["pos"], np.int64)
+                whole = Side(pos, unpacked(raw["q"], len(pos)), unpacked(raw["k"], len(pos)), *(np.frombuffer(raw[c], np.float64) if c in raw else None for c in ("lse", "d")), None)
+
+                def product(x: np.ndarray, whole: Side = whole) -> np.ndarray:
+                    side = replace(whole, x=x)
+                    return sum(part for _, part in kernel(side, side, True))
+
+                values, vectors = short(product, pos)
+                ends = np.cumsum(n).tolist()
+                keys += [tuple(row[k] for k in KEY)] * len(parts)
+                out["block"] += [x["block"] for x in parts]
+                out["n"] += n
+                out[names[0]] += [values.tolist()] * len(parts)
+                for c, x in zip(names[1:], vectors, strict=True):
+                    out[c] += [packed(x[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            kinds = {"block": pa.int32(), "n": pa.int32(), names[0]: pa.list_(pa.float64())} | {c: pa.binary() for c in names[1:]}
+            yield from table_of(keys, {c: (kinds[c], v) for c, v in out.items()}).to_batches()
+
+    found = []
+    if most != 0:
+        few = rows.join(size.where("_short"), KEY, "left_semi") if least == 0 else rows
+        one = few.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", "n", *inputs))).alias("parts"))
+        found.append(one.mapInArrow(run, f"{KEY_DDL}, block int, n int, {names[0]} array<double>, {', '.join(f'{c} binary' for c in names[1:])}"))
+    if least == 0:
+        found.append(long(rows.join(size.where("not _short"), KEY, "left_semi") if most else rows))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def _step(state: DataFrame, kernel: blocked.Kernel, step: Callable[[dict], dict]) -> DataFrame:
     """One round: the product of each window's vector ``x``, then ``step`` with the window's basis, numbers and the product ``out``.
 
@@ -98,9 +154,8 @@ def _longest(rows: DataFrame) -> int:
     return rows.groupBy(*KEY).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def golub_kahan(rows: DataFrame, iters: int, kernel: blocked.Kernel | None = None, seed: int = 7) -> DataFrame:
-    """The state after ``iters`` rounds of bidiagonalization (fewer in windows of fewer tokens, or where a vector vanishes): bases ``p`` and ``q_`` with
-    M q = p B, B lower bidiagonal with ``alphas`` and ``betas``.  ``kernel`` gives ``[M x, M' x]``."""
+def _bidiagonal(iters: int) -> tuple[Callable[[dict], dict], Callable[[dict], dict]]:
+    """Both halves of a round of bidiagonalization."""
 
     def down(now: dict) -> dict:
         if len(now["alphas"]) >= min(iters, len(now["p"])):
@@ -120,6 +175,25 @@ def golub_kahan(rows: DataFrame, iters: int, kernel: blocked.Kernel | None = Non
             return {"betas": [*now["betas"], beta], "ended": True}
         return {"p": np.column_stack([now["p"], s / beta]), "x": (s / beta)[:, None], "betas": [*now["betas"], beta]}
 
+    return down, up
+
+
+def _rounds(product: Product, pos: np.ndarray, iters: int, steps: list[Callable[[dict], dict]], seed: int, columns: int) -> dict:
+    """The state of a window after at most ``iters`` rounds of ``steps``, all in one task."""
+    x = normal(seed, columns, pos)
+    x = x / np.linalg.norm(x)
+    now = {"p": x, "q_": np.empty((len(x), 0)), "x": x, "alphas": [], "betas": [], "ended": False}
+    for step in steps * min(iters, len(x)):
+        now |= step(now | {"out": product(now["x"])})
+        if now["ended"]:
+            break
+    return now
+
+
+def golub_kahan(rows: DataFrame, iters: int, kernel: blocked.Kernel | None = None, seed: int = 7) -> DataFrame:
+    """The state after ``iters`` rounds of bidiagonalization (fewer in windows of fewer tokens, or where a vector vanishes): bases ``p`` and ``q_`` with
+    M q = p B, B lower bidiagonal with ``alphas`` and ``betas``.  ``kernel`` gives ``[M x, M' x]``."""
+    down, up = _bidiagonal(iters)
     state, kernel = _started(rows, seed, 1), kernel or blocked.both_ways()
     for _ in range(min(iters, _longest(rows))):
         state = _step(_step(state, kernel, down), kernel, up)
@@ -130,20 +204,27 @@ def svd_by_lanczos(rows: DataFrame, k: int, iters: int | None = None, kernel: bl
     """``block, n, sigmas, u, v``: the ``k`` largest singular values of each window and the blocks of their left and right vectors.  No rows for k <= 0."""
     if k <= 0:
         return _none(rows)
-    state = golub_kahan(rows, iters or max(2 * k + 2, 20), kernel, seed)
+    iters, kernel = iters or max(2 * k + 2, 20), kernel or blocked.both_ways()
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("block")
-        alphas, betas = part.column("alphas")[0].as_py(), part.column("betas")[0].as_py()
-        p, q, m = _vectors(part, "p"), _vectors(part, "q_"), len(alphas)
+    def factors(alphas: list[float], betas: list[float], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        m = len(alphas)
         b = np.zeros((p.shape[1], m))
         b[range(m), range(m)] = alphas
         below = min(p.shape[1] - 1, m)
         b[range(1, below + 1), range(below)] = betas[:below]
         left, s, right = np.linalg.svd(b, full_matrices=False)
-        return _pairs(part, s[:k], p @ left[:, :k], q @ right[:k].T)
+        return s[:k], [p @ left[:, :k], q @ right[:k].T]
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("block")
+        s, (u, v) = factors(part.column("alphas")[0].as_py(), part.column("betas")[0].as_py(), _vectors(part, "p"), _vectors(part, "q_"))
+        return _pairs(part, s, u, v)
+
+    def short(product: Product, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        now = _rounds(product, pos, iters, list(_bidiagonal(iters)), seed, 1)
+        return factors(now["alphas"], now["betas"], now["p"], now["q_"])
 
-    return state.groupBy(*KEY).applyInArrow(run, f"{KEY_DDL}, {_PAIRS}")
+    return _by_size(rows, kernel, short, lambda rows: golub_kahan(rows, iters, kernel, seed).groupBy(*KEY).applyInArrow(run, f"{KEY_DDL}, {_PAIRS}"), ["sigmas", "u", "v"])
 
 
 _PAIRS = "block int, n int, sigmas array<double>, u binary, v binary"
@@ -192,22 +273,47 @@ def _with_triangle(x: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarr
         *KEY, "block", "n", F.col("y").alias("x")))
 
 
+def _scaled(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    _, s, right = np.linalg.svd(r)
+    s = np.r_[s, np.zeros(r.shape[1] - len(s))]
+    some = s > 1e-11 * s[:1].sum()
+    return x @ right.T * np.where(some, 1 / np.where(some, s, 1), 0.0)
+
+
 def orthonormal(x: DataFrame) -> DataFrame:
     """The columns of ``x`` (key, block, n, x) made orthonormal, in two rounds; what depends on others becomes a zero column."""
+    return _with_triangle(_with_triangle(x, _scaled), _scaled)
 
-    def scaled(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        _, s, right = np.linalg.svd(r)
-        s = np.r_[s, np.zeros(r.shape[1] - len(s))]
-        some = s > 1e-11 * s[:1].sum()
-        return x @ right.T * np.where(some, 1 / np.where(some, s, 1), 0.0)
 
-    return _with_triangle(_with_triangle(x, scaled), scaled)
+def _turned(r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the triangular factor of M' Q: the ``k`` singular values, what turns Q into left vectors, and M' Q into right ones."""
+    _, s, right = np.linalg.svd(r)
+    s = s[:k]
+    turn, some = right[: len(s)].T, s > 1e-12 * s[:1].sum()
+    return s, turn, turn * np.where(some, 1 / np.where(some, s, 1), 0.0)
 
 
 def randomized_svd(rows: DataFrame, k: int, more: int = 5, powers: int = 2, kernel: blocked.Kernel | None = None, seed: int = 7) -> DataFrame:
     """``block, n, sigmas, u, v`` like ``svd_by_lanczos``, by the range of M times ``k + more`` Gaussian probes after ``powers`` power rounds.  Probes beyond a window's tokens are not drawn."""
     if k <= 0:
         return _none(rows)
+    kernel = kernel or blocked.both_ways()
+
+    def short(product: Product, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        forth, back = (lambda x, at=at: np.hsplit(product(x), 2)[at] for at in (0, 1))
+        clean = lambda x: _scaled(y := _scaled(x, np.linalg.qr(x, mode="r")), np.linalg.qr(y, mode="r"))
+        y = clean(forth(normal(seed, min(k + more, len(pos)), pos)))
+        for _ in range(powers):
+            y = clean(forth(clean(back(y))))
+        x = back(y)
+        s, left, right = _turned(np.linalg.qr(x, mode="r"), k)
+        return s, [y @ left, x @ right]
+
+    return _by_size(rows, kernel, short, lambda rows: _randomized(rows, k, more, powers, kernel, seed), ["sigmas", "u", "v"])
+
+
+def _randomized(rows: DataFrame, k: int, more: int, powers: int, kernel: blocked.Kernel, seed: int) -> DataFrame:
+    """``randomized_svd`` of long windows."""
     size = rows.groupBy(*KEY).agg(F.sum("n").alias("tokens"))
     probes = lambda row: normal(seed, min(k + more, row["tokens"]), np.frombuffer(row["pos"], np.int64))
     x = cut(blocked._mapped(rows.join(size, KEY), "x", probes, ["pos", "tokens"]).select(*KEY, "block", "n", "x"))
@@ -222,13 +328,10 @@ def randomized_svd(rows: DataFrame, k: int, more: int = 5, powers: int = 2, kern
         for batch in batches:
             sigmas, us, vs = [], [], []
             for row in batch.select(["n", "x", "y", "rn", "r"]).to_pylist():
-                _, s, right = np.linalg.svd(unpacked(row["r"], row["rn"]))
-                s = s[:k]
-                turn = right[: len(s)].T
-                some = s > 1e-12 * s[:1].sum()
+                s, left, right = _turned(unpacked(row["r"], row["rn"]), k)
                 sigmas.append(s.tolist())
-                us.append(packed(unpacked(row["y"], row["n"]) @ turn))
-                vs.append(packed(unpacked(row["x"], row["n"]) @ turn * np.where(some, 1 / np.where(some, s, 1), 0.0)))
+                us.append(packed(unpacked(row["y"], row["n"]) @ left))
+                vs.append(packed(unpacked(row["x"], row["n"]) @ right))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "block", "n")), pa.array(sigmas, pa.list_(pa.float64())), pa.array(us, pa.binary()), pa.array(vs, pa.binary())],
                                              [*KEY, "block", "n", "sigmas", "u", "v"])
 
@@ -274,21 +377,29 @@ def hermitian_lanczos(rows: DataFrame, k: int = 1, iters: int = 20, smallest: bo
             return {"alphas": alphas, "ended": True}
         return {"p": np.hstack([now["p"], real((z / beta)[:, None])]), "x": real((z / beta)[:, None]), "alphas": alphas, "betas": [*now["betas"], beta]}
 
-    state = _started(rows, seed, 2)
-    for _ in range(min(iters, _longest(rows))):
-        state = _step(state, kernel, step)
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("block")
-        alphas, betas = part.column("alphas")[0].as_py(), part.column("betas")[0].as_py()
+    def ends(alphas: list[float], betas: list[float], p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         t = np.diag(alphas) + np.diag(betas[: len(alphas) - 1], 1) + np.diag(betas[: len(alphas) - 1], -1)
         values, vectors = np.linalg.eigh(t)
         at = np.arange(len(values))[:k] if smallest else np.arange(len(values))[::-1][:k]
-        found = complex_(_vectors(part, "p"))[:, : len(alphas)] @ vectors[:, at]
-        return part.select([*KEY, "block", "n"]).append_column("values", pa.array([values[at].tolist()] * len(part), pa.list_(pa.float64()))).append_column(
-            "vectors", pa.array(_blocks(part, real(found)), pa.binary()))
+        return values[at], [real(complex_(p)[:, : len(alphas)] @ vectors[:, at])]
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("block")
+        values, (found,) = ends(part.column("alphas")[0].as_py(), part.column("betas")[0].as_py(), _vectors(part, "p"))
+        return part.select([*KEY, "block", "n"]).append_column("values", pa.array([values.tolist()] * len(part), pa.list_(pa.float64()))).append_column(
+            "vectors", pa.array(_blocks(part, found), pa.binary()))
+
+    def short(product: Product, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        now = _rounds(product, pos, iters, [step], seed, 2)
+        return ends(now["alphas"], now["betas"], now["p"])
+
+    def long(rows: DataFrame) -> DataFrame:
+        state = _started(rows, seed, 2)
+        for _ in range(min(iters, _longest(rows))):
+            state = _step(state, kernel, step)
+        return state.groupBy(*KEY).applyInArrow(run, f"{KEY_DDL}, block int, n int, values array<double>, vectors binary")
 
-    return state.groupBy(*KEY).applyInArrow(run, f"{KEY_DDL}, block int, n int, values array<double>, vectors binary")
+    return _by_size(rows, kernel, short, long, ["values", "vectors"])
 
 
 def frustration(tok: DataFrame, iters: int = 20, size: int = blocked.SIZE) -> DataFrame:

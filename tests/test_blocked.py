@@ -160,3 +160,19 @@ def test_features(spark, method="randomized"):
     assert np.allclose([got[2]["g"], got[2]["gamma"]], [np.linalg.norm(a) / fro, np.sqrt(2 * (r @ r) / 8) / fro])
     assert 0 <= got[2]["phi_hat"] <= 1 and len(got[2]["sigmas"]) == 4 and got[0]["sigmas"] == [] and got[0]["phi_hat"] == 0
     assert set(got[0].asDict()) == {*KEY, "sigmas", "sigma2", "sigma2_asym", "commutator_norm", "phi_hat", "g", "gamma", "c"}
+
+
+@pytest.mark.parametrize("name", ["svd_by_lanczos", "randomized_svd", "hermitian_lanczos"])
+def test_short_windows_in_one_task_equal_spread_ones(spark, monkeypatch, name):
+    """The same rounds, spread over tasks or not, and a table that has both; a short window is one row of its task, not one of every round."""
+    tok = toks(spark, [1, 2, 6, 16])
+    rows = blocked.attention(tok, size=3)
+    value = "values" if name.startswith("h") else "sigmas"
+    found = []
+    for most in (0, 12, 10**6):
+        monkeypatch.setattr(krylov, "SHORT", most)
+        df = getattr(krylov, name)(rows, 2)
+        found.append({(r["request_id"], r["block"]): (r["n"], np.round(r[value], 7).tolist()) for r in df.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == rows.count()
+    monkeypatch.setattr(krylov, "_step", None)
+    assert getattr(krylov, name)(rows, 2).count() == len(found[0])
