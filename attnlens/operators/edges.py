@@ -9,8 +9,22 @@ from attnlens.functions.arrays import dot
 from attnlens.sources.tokens import DIMS, KEY
 
 
+#: Token pairs of a task, and the least that a task is worth where cores are idle.
+PAIRS, FEW_PAIRS = 250_000, 20_000
+
+
+def dealt(tok: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """``tok`` dealt by ``key`` to as many tasks as its pairs ask for.  Pairs are made and sorted where their tokens lie, and tokens are few beside them: without a number of tasks
+    Spark merges small partitions of tokens, and a task's pairs grow with the table."""
+    sizes = tok.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    n = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    cores = tok.sparkSession.sparkContext.defaultParallelism
+    return tok.repartition(max(-(-n // PAIRS), min(cores, n // FEW_PAIRS), 1), *key)
+
+
 def scores(tok: DataFrame, causal: bool, scale: bool = True, key: list[str] = KEY) -> DataFrame:
     """Scores of token pairs of one key; ``causal`` prunes the pairs inside the join instead of masking them."""
+    tok = dealt(tok, key)
     a = tok.select(*key, F.col("pos").alias("i"), "q")
     b = tok.select(*key, F.col("pos").alias("j"), "k")
     pairs = a.join(b, key).where("j <= i") if causal else a.join(b, key)
