@@ -19,7 +19,7 @@ names, travel in the struct ``row``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attnlens.llm.common import alnum_words
+from attnlens.llm.common import alnum_words, lean, sliced
 from attnlens.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -114,7 +114,7 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[fresh], reach[np.r_[fresh[1:], True]]
 
 
-def _search(texts: list[str | None], windows: Windows, shard_words: int) -> list[tuple[int, list, list[str]]]:
+def _search(texts: Iterable[str | None], windows: Windows, shard_words: int) -> list[tuple[int, list, list[str]]]:
     """(words, merged spans, items) of each text, indexing the texts in shards."""
     out: list[tuple[int, list, list[str]]] = []
     group: list[np.ndarray] = []
@@ -181,13 +181,13 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
                               ("items", pa.list_(pa.string()))])
             for batch in batches:
                 row = batch.column(0)
-                texts = pa.compute.struct_field(row, text).to_pylist()
+                texts = sliced(pa.compute.struct_field(row, text))
                 found = [{"n_words": w, "spans": s, "items": i} for w, s, i in _search(texts, windows, shard_words)]
                 if batch.column(1).null_count < len(batch):  # the passes before this one
                     found = [_joined(a, b) for a, b in zip(batch.column(1).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([row, pa.array(found, kind)], ["row", "found"])
 
-        out = out.mapInArrow(search, schema)
+        out = out.mapInArrow(lean(search), schema)
     return out
 
 

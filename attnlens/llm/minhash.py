@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import HOT_KEYS, cut, sliced, small, space_words, split_join
+from attnlens.llm.common import HOT_KEYS, cut, lean, sliced, small, space_words, split_join
 from attnlens.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
+        lean(sign), f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -153,7 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
                                              ["node", "flag", "digest", "shingles"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return (picked.mapInArrow(shingle, f"node {kind}, flag int, digest binary, shingles array<bigint>")
+    return (picked.mapInArrow(lean(shingle), f"node {kind}, flag int, digest binary, shingles array<bigint>")
             .repartition("node").dropDuplicates(["node", "digest"]).drop("digest"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, give_back, sliced
+from attnlens.llm.common import cut, give_back, lean, sliced
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row_hash")).mapInArrow(
-        split, f"doc_id {kind}, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+        lean(split), f"doc_id {kind}, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

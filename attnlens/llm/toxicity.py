@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attnlens.llm.common import alnum_words, sliced
+from attnlens.llm.common import alnum_words, lean, sliced
 
 MAX_ROWS = 5_000
 STARTS = (3, 4, 5, 6)
@@ -110,18 +110,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def mine(rows: list[tuple[str | None, int]]) -> dict[bytes, int]:
     """Features of toxic rows and the voter of each.  Features that no clean row has go to the first STRONG voters."""
-    counts = (Counter(), Counter())
-    total = [0, 0]
+    features = lambda text: {f for w in set(alnum_words(text)) for f in _features(w)}
+    toxic: Counter[bytes] = Counter()
     for text, label in rows:
-        total[label] += 1
-        counts[label].update({f for w in set(alnum_words(text)) for f in _features(w)})
+        if label:
+            toxic.update(features(text))
+    toxic = Counter({f: n for f, n in toxic.items() if n >= MIN_ROWS})
+    # most features of other rows are rare ones that no toxic row has: they are not counted
+    clean: Counter[bytes] = Counter()
+    for text, label in rows:
+        if not label:
+            clean.update(features(text) & toxic.keys())
+    n_toxic = sum(label for _, label in rows)
     strong, weak = [], []
-    for f, n in counts[1].items():
-        if n >= MIN_ROWS:
-            clean = counts[0].get(f, 0)
-            ratio = np.log((n + 0.5) / (total[1] + 1)) - np.log((clean + 0.5) / (total[0] + 1))
-            if ratio >= MIN_RATIO:
-                (weak if clean or n < 2 * MIN_ROWS else strong).append((-n * ratio, f))
+    for f, n in toxic.items():
+        ratio = np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean[f] + 0.5) / (len(rows) - n_toxic + 1))
+        if ratio >= MIN_RATIO:
+            (weak if clean[f] or n < 2 * MIN_ROWS else strong).append((-n * ratio, f))
     out = {f: k % STRONG for k, (_, f) in enumerate(sorted(strong)[:FEATURES])}
     return out | {f: STRONG + k % (VOTERS - STRONG) for k, (_, f) in enumerate(sorted(weak)[:FEATURES])}
 
@@ -195,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             model = fit(sorted({(t, y) for _, t, y in rows}))  # a text counts once, however many copies it has
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.lexicon, model.mean, model.scale, model.weights, model.bias))], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return Model(*pickle.loads(found[0]["model"])) if found else None
 
 
@@ -214,4 +219,4 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
             texts = sliced(pa.compute.struct_field(batch.column(0), "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts), pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
