@@ -7,9 +7,10 @@ open bins with gap g: into an open bin of gap g (if the piece fits), or into a n
 Pieces are dealt by a hash of their number into groups of about ``group_pieces`` and each group is packed by itself, so a task holds one bounded group (three integers a piece) and the bins lost at
 a group's end are few beside its thousands.  Full pieces fill a sequence each and are not packed.
 
-Tokens: texts are encoded in groups of about GROUP_CHARS characters.  The distinct words between white space of a group are encoded at once,
-as the tokenizer never joins across white space; the ids of at most CACHE words and a group's own are kept until the task ends.  Texts
-that hold one of its special strings, or whose lower case NFC would compose once more, are encoded whole.
+Tokens: texts are encoded in groups of about GROUP_CHARS characters.  Arrow finds the distinct words between white space of a group, which are encoded at once,
+as the tokenizer never joins across white space; the ids of at most CACHE words and a group's own are kept until the task ends.  Words of ASCII and
+Latin letters with end marks are normalized and cut here by the tokenizer's rule and go to its model alone; other words go to the whole tokenizer.  Texts
+that hold one of its special strings, in capitals too, or whose lower case NFC would compose once more, are encoded whole.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed as rows of their own; an empty table
 gives no rows; other columns are ignored.
@@ -18,13 +19,15 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,14 @@ from attnlens.llm.common import cut, give_back, lean, sliced
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Characters of texts that are encoded together, words of a part of a longer text, and words whose ids a task keeps.
-GROUP_CHARS, PART_WORDS, CACHE = 2_000_000, 200_000, 200_000
+GROUP_CHARS, PART_WORDS, CACHE = 4_000_000, 200_000, 300_000
 END = bytes(4)
 #: Letters whose lower case depends on their neighbours, or is more than one character, in Python's rule.
 BY_CONTEXT = ("\u0130", "\u03a3")
+#: The tokenizer's own rule on lower-case ASCII words, end marks, and Latin letters up to U+024F, which are letters to every Unicode version.
+CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+MARKS = b".,;:!?"
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
 
 class WordTokens:
@@ -44,45 +51,58 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        #: The same model for words that are normalized and apart already: no normalizer, no rule of splitting but white space.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        """Ids of new lower-case words.  Letters, then end marks: both parts are tokens of their own to the tokenizer, so a word of letters is encoded
-        once for all its end marks, together with many others."""
-        asked = set(words)
-        if len(self.known) > CACHE:  # words in use now stay
-            self.known = {w: ids for w, ids in self.known.items() if w in asked}
-        known, letters, marked, other = self.known, set(), [], []
-        for word in asked.difference(known):
-            core = word.rstrip(b".,;:!?")
-            if core.isalpha() or core.decode("utf-8", "surrogatepass").isalpha():
-                if core not in known:
-                    letters.add(core)
-                if len(core) < len(word):
-                    marked.append((word, core, word[len(core) :]))
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new lower-case words.  The tokenizer cuts a word into parts that are words of their own to it, letters and end marks in the main, so a part
+        is encoded once for all its words, together with many others."""
+        known = self.known
+        if len(known) > CACHE:  # words in use now stay
+            known = self.known = {w: known[w] for w in (b"", *words) if w in known}
+        parts, marked, cores, tails, odd, other = set(), [], [], [], [], []
+        for word in words:
+            if word in known:
+                continue
+            if word.isalpha() or LETTERS.fullmatch(word):
+                parts.add(word)
+                continue
+            core = word.rstrip(MARKS)
+            if len(core) < len(word) and (core.isalpha() or LETTERS.fullmatch(core)):
+                marked.append(word)
+                cores.append(core)
+                tails.append(word[len(core) :])
+            elif word.isascii():
+                odd.append((word, CUT.findall(word)))
+                parts.update(odd[-1][1])
             else:
                 other.append(word)
-        new = list(letters)
+        parts.update(cores)
+        parts.update(tails)
+        new = list(parts.difference(known))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            of, raw = np.array(found.word_ids, np.int64), np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            if len(of) and of[-1] != len(part) - 1:  # a word of what Python calls letters falls apart
-                other += part
-                continue
+            found = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = (4 * np.r_[0, np.flatnonzero(self.last[found]) + 1]).tolist(), found.tobytes()
+            if len(ends) != len(part) + 1 or ends[-1] != len(raw):
+                raise ValueError("a word's last token does not end it")
             known.update(zip(part, map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+        known.update(zip(marked, map(add, map(known.__getitem__, cores), map(known.__getitem__, tails)), strict=True))
+        known.update((word, b"".join(map(known.__getitem__, found))) for word, found in odd)
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
         known.update((word, np.array(found.ids, "<u4").tobytes()) for word, found in zip(other, encoded, strict=True))
-        tails = {tail: self._ids(tail.decode()) for tail in {tail for _, _, tail in marked}}
-        known.update((word, known[core] + tails[tail]) for word, core, tail in marked)
 
     def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, size = [], 0
@@ -96,20 +116,36 @@ class WordTokens:
 
     def _group(self, texts: list[str | None]) -> Iterator[bytes]:
         long = [len(t or "") > GROUP_CHARS for t in texts]
-        words = [None if far or (x := self._words(t or "")) is None else x.split() for t, far in zip(texts, long, strict=True)]  # at ASCII white space
-        self._learn(chain.from_iterable(filter(None, words)))
-        get = self.known.__getitem__
-        for text, far, x in zip(texts, long, words, strict=True):
-            yield (b"".join(map(get, x)) if x is not None else b"".join(self._parts(text)) if far else self._ids(text)) + END
+        words = [None if far else self._words(t or "") for t, far in zip(texts, long, strict=True)]
+        encoded = self._encoded([x or b"" for x in words])
+        for text, far, x, ids in zip(texts, long, words, encoded, strict=True):
+            yield (ids if x is not None else b"".join(self._parts(text)) if far else self._ids(text)) + END
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of texts of ``_words``: each distinct word is looked up once, Arrow puts its ids at all its places."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        places = lists.flatten().dictionary_encode()
+        words = places.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self._learn(words)
+        ids = pa.array([*map(self.known.__getitem__, words)], pa.large_binary()).take(places.indices)
+        _, offsets, data = ids.buffers()
+        if data is None:
+            yield from (b"" for _ in texts)
+            return
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data)
+        yield from (bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
 
     def _words(self, text: str) -> bytes | None:
         """The text as the tokenizer normalizes it: composed, then in lower case; None if the tokenizer must see it in one piece."""
         if any(s in text for s in self.special):
             return None
-        if text.isascii():
-            return text.lower().encode()
-        text = unicodedata.normalize("NFC", text)
-        if any(c in text for c in BY_CONTEXT) or not unicodedata.is_normalized("NFC", text := text.lower()):
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if any(c in text for c in BY_CONTEXT) or not unicodedata.is_normalized("NFC", text.lower()):
+                return None
+        text = text.lower()
+        if any(s in text for s in self.special):  # in capitals it is no special string
             return None
         return text.encode("utf-8", "surrogatepass")
 
@@ -120,8 +156,7 @@ class WordTokens:
         while rest:
             words = rest.split(None, PART_WORDS)
             words, rest = words[:PART_WORDS], words[PART_WORDS] if len(words) > PART_WORDS else b""
-            self._learn(words)
-            yield b"".join(map(self.known.__getitem__, words))
+            yield from self._encoded([b" ".join(words)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,3 +72,37 @@ def test_equal_rows_are_packed_in_several_groups(spark):
     rows = packing.pack(packing.pieces(docs, PATH), group_pieces=4_000)
     assert rows.selectExpr("sequence_id & 16777215 as g").groupBy("g").count().where("count < 6000").count() == 6
     assert rows.count() == 20_000 and rows.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_latin_words_go_to_the_model_alone():
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+
+    class Whole:
+        def encode(self, text, **_):
+            raise AssertionError(text)
+
+        def encode_batch_fast(self, texts, **_):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    asked, tokens.tokenizer = [], Whole()
+    texts = ["", " \t", "The cat's 'tis don't 'RE-do 're'st, 2024-11-30!? a_b %%%&&& x\x00y\x1cz .,;", "Été, größe; ŉ ǆ über. ", None, "it''s'' 'll'd'x naïve?!", "the the  été"]
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert list(tokens.many(texts)) == want and asked == []
+    texts = ["×2 a÷b", "слово, 語 té€"]
+    assert list(tokens.many(texts)) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts] and len(asked) == 5
+
+
+def test_special_strings_in_capitals_are_plain_text():
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    texts = ["a <|ENDOFTEXT|> b", "é<|StartOfText|>", "é<|endoftext|≯"]
+    assert list(tokens.many(texts)) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+
+def test_words_learned_anew_and_long_texts_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_CHARS", 50)
+    monkeypatch.setattr(packing, "PART_WORDS", 7)
+    monkeypatch.setattr(packing, "CACHE", 5)
+    tokenizer, tokens = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    texts = [f"Word{k}, other words {k * k}-{k}; été{k % 3} x's" * (1 + 4 * (k % 2)) for k in range(40)]
+    assert list(tokens.many(texts)) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
