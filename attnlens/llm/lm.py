@@ -21,17 +21,17 @@ model and counts of zero; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attnlens.llm.common import cut, sliced, space_words
+from attnlens.llm.common import cut, sliced
 
 WIDTH, FREQUENT_CLASSES, SPELLING_CLASSES = 32, 32, 64
 FREQUENT = WIDTH * FREQUENT_CLASSES
@@ -42,8 +42,8 @@ HIDDEN = 24
 STEPS, STREAMS, ROUND_STEPS, ROUNDS = 32, 64, 80, 2
 #: Tokens of a shard, and weights added up in one place.
 SHARD_TOKENS, FAN = 500_000, 32
-#: Tokens that a task scores together, and words whose spelling it keeps.
-BUFFER, CACHE = 2_000_000, 300_000
+#: Tokens that a task scores together.
+BUFFER = 4_000_000
 END = b" "
 
 
@@ -53,6 +53,12 @@ def spelling(word: bytes) -> str:
     return f"{chr(min(ord(text[-1]), 0x250))}{0 if len(text) < 5 else 1 if len(text) < 9 else 2}{int(len(word) != len(text))}"
 
 
+def named(spelled: str) -> str:
+    """The name in ``spelling`` of a value of ``spelled_as``."""
+    last, rest = spelled.split(" ")
+    return chr(int(last)) + rest
+
+
 # -- the network ------------------------------------------------------------------------------------------------------
 
 Weights = dict[str, np.ndarray]
@@ -66,45 +72,64 @@ def fresh(seed: int = 7) -> Weights:
             "w": new(FREQUENT_CLASSES, h, WIDTH, s=0.05), "wb": np.zeros((FREQUENT_CLASSES, WIDTH), np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _apart(a: np.ndarray) -> np.ndarray:
+    """Rows of three gates as [gate, row, unit]; update and reset are negated, as their exponentials are taken."""
+    a = np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).swapaxes(0, 1))
+    a[:2] *= -1
+    return a
+
 
+def _step(g: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The next state in ``out``, and what the candidate has of the state; inputs ``g`` of ``_apart`` become update, reset and candidate."""
+    hu = h @ u
+    gates, c = g[:2], g[2]
+    gates += hu[:2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], hu[2], out=out)
+    c += out
+    np.tanh(c, out=c)
+    np.subtract(h, c, out=out)
+    out *= gates[0]
+    out += c
+    return hu[2]
 
-def _step(w: Weights, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gates, candidate and next state of inputs ``g`` (rows of w["x"])."""
-    hu, n = h @ w["u"], HIDDEN
-    gates = _sigmoid(g[:, : 2 * n] + hu[:, : 2 * n])
-    z, r, a = gates[:, :n], gates[:, n:], hu[:, 2 * n :]
-    c = np.tanh(g[:, 2 * n :] + r * a)
-    return z, r, a, c, c + z * (h - c)
+
+def _calm(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """True if exponentials of the logits of all states (units within -1 and 1) stay far from float32's ends."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max()) < 60
 
 
 def _class_of(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < FREQUENT, symbols // WIDTH, symbols - FREQUENT + FREQUENT_CLASSES)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_chosen(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, calm: bool) -> np.ndarray:
+    """Log of the softmax at one place of each row."""
+    out, ones = np.empty(len(rows), np.float32), np.ones(len(bias), np.float32)
+    for k in range(0, len(rows), 2048):
+        logit = rows[k : k + 2048] @ weights
+        logit += bias
+        if not calm:
+            logit -= logit.max(1, keepdims=True)
+        chosen = logit[np.arange(len(logit)), at[k : k + 2048]]
+        np.exp(logit, out=logit)
+        out[k : k + 2048] = chosen - np.log(logit @ ones)
+    return out
 
 
 def log_probs(w: Weights, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, for frequent tokens, P(token | class), of each state's next symbol."""
-    out = np.empty(len(h))
-    for k in range(0, len(h), 32_768):
-        part, sym = h[k : k + 32_768], symbols[k : k + 32_768]
-        cls = _class_of(sym)
-        logit = part @ w["c"] + w["cb"]
-        top = logit.max(1)
-        out[k : k + len(part)] = logit[np.arange(len(part)), cls] - top - np.log(np.exp(logit - top[:, None]).sum(1))
-        order, ends = _by_class(cls)
-        rows, at, found = part[order], sym[order] % WIDTH, np.empty(len(order))
-        for c in range(FREQUENT_CLASSES):
-            b, e = ends[c], ends[c + 1]
-            if e > b:
-                lp = _log_softmax(rows[b:e] @ w["w"][c] + w["wb"][c])
-                found[b:e] = lp[np.arange(e - b), at[b:e]]
-        out[k + order] += found
+    cls = _class_of(symbols)
+    out = _log_chosen(h, w["c"], w["cb"], cls, _calm(w["c"], w["cb"])).astype(np.float64)
+    order, ends = _by_class(cls)
+    rows, at, found, calm = h[order], symbols[order] % WIDTH, np.empty(len(order)), _calm(w["w"], w["wb"])
+    for c in range(FREQUENT_CLASSES):
+        b, e = ends[c], ends[c + 1]
+        if e > b:
+            found[b:e] = _log_chosen(rows[b:e], w["w"][c], w["wb"][c], at[b:e], calm)
+    out[order] += found
     return out
 
 
@@ -115,94 +140,117 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order[: ends[-1]], ends
 
 
-def text_log_probs(w: Weights, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
+def text_log_probs(w: Weights, texts: list[np.ndarray], window: int = 256) -> np.ndarray:
     """Natural log-probability of each whole symbol sequence."""
-    out = np.zeros(len(texts))
-    lengths = np.array([len(t) for t in texts])
+    return flat_log_probs(w, np.concatenate(texts), np.array([len(t) for t in texts]), window)
+
+
+def flat_log_probs(w: Weights, flat: np.ndarray, lengths: np.ndarray, window: int = 256) -> np.ndarray:
+    """Of sequences that lie end to end in ``flat``.  Longest first, so those that still run are the first ones; their states are scored ``window`` x 128 at a time."""
     order = np.argsort(-lengths, kind="stable")
-    h = np.zeros((len(texts), HIDDEN), np.float32)
-    last = np.full(len(texts), START)
-    at = 0
-    while True:
-        n = int((lengths[order] > at).sum())
-        if not n:
-            return out
-        rows = order[:n]
-        y = np.full((window, n), -1)
-        for j, i in enumerate(rows):
-            part = texts[i][at : at + window]
-            y[: len(part), j] = part
-        x = np.concatenate([last[None, :n], np.maximum(y[:-1], 0)])
-        states = np.empty((window, n, HIDDEN), np.float32)
-        for t in range(window):
-            states[t] = _step(w, w["x"][x[t]], states[t - 1] if t else h[:n])[-1]
-        real = y >= 0
-        lp = np.zeros((window, n))
-        lp[real] = log_probs(w, states[real], y[real])
-        out[rows] += lp.sum(0)
-        h, last = states[-1], y[-1]
-        at += window
+    begin, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    running = (len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")).tolist()
+    total = np.zeros(len(lengths))
+    inputs, u = _apart(w["x"]), _apart(w["u"])
+    h, last = np.zeros((len(lengths), HIDDEN), np.float32), np.full(len(lengths), START)
+    states, symbols, held = [], [], 0
+    for t, n in enumerate(running):
+        g, new, last = np.take(inputs, last[:n], axis=1), np.empty((n, HIDDEN), np.float32), flat[begin[:n] + t]
+        _step(g, u, h[:n], new)
+        h = new
+        states.append(new)
+        symbols.append(last)
+        held += n
+        if held >= window * 128 or t == len(running) - 1:
+            lp, at = log_probs(w, np.concatenate(states), np.concatenate(symbols)), 0
+            for some in states:
+                total[: len(some)] += lp[at : at + len(some)]
+                at += len(some)
+            states, symbols, held = [], [], 0
+    out = np.empty(len(lengths))
+    out[order] = total
+    return out
 
 
 def _gradients(w: Weights, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tuple[Weights, np.ndarray, float]:
     """Gradients of the mean loss over one window [step, stream], the last state, and the loss."""
     steps, streams, n = *x.shape, HIDDEN
-    kept, h, states = [], h0, np.empty((steps, streams, n), np.result_type(h0, w["u"]))
-    begins, inputs = x == START, w["x"][x]
+    begins = x == START
     some = begins.any(1).tolist()
+    u = _apart(w["u"])
+    gates = np.take(_apart(w["x"]), x, axis=1)  # inputs, and after a step its update, reset and candidate: [gate, step, stream, unit]
+    before, states, resets = (np.empty((steps, streams, n), np.result_type(h0, w["u"])) for _ in range(3))
+    h = h0
     for t in range(steps):
         if some[t]:  # a text begins
             h = np.where(begins[t][:, None], np.float32(0), h)
-        z, r, a, c, new = _step(w, inputs[t], h)
-        kept.append((h, z, r, a, c))
+        before[t] = h
+        resets[t] = _step(gates[:, t], u, h, states[t])
         # a state that the next text's start resets is still the one that predicts its end
-        states[t] = h = new
+        h = states[t]
     flat, sym = states.reshape(-1, n), y.ravel()
     cls = _class_of(sym)
     g = {k: np.zeros_like(v) for k, v in w.items()}
 
-    def softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+    def softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, calm: bool) -> tuple[np.ndarray, float]:
         """The loss's derivative by the logits, and the loss."""
         d = rows @ weights
         d += bias
-        d -= d.max(1, keepdims=True)
+        if not calm:
+            d -= d.max(1, keepdims=True)
         np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
+        d *= (1 / (d @ np.ones(len(bias), d.dtype)))[:, None]
         real = np.arange(len(at))
         loss = -float(np.log(d[real, at] + 1e-30).sum())
         d[real, at] -= 1
         return d, loss
 
-    d, loss = softmax(flat, w["c"], w["cb"], cls)
-    g["c"], g["cb"] = flat.T @ d, d.sum(0)
-    dh_out = d @ w["c"].T
+    calm = _calm(w["w"], w["wb"])
+    loss, quiet, dh_out = 0.0, _calm(w["c"], w["cb"]), np.empty_like(flat)
+    for k in range(0, len(flat), 2048):  # as many as a core's cache holds
+        rows = flat[k : k + 2048]
+        d, more = softmax(rows, w["c"], w["cb"], cls[k : k + 2048], quiet)
+        loss += more
+        g["c"] += rows.T @ d
+        g["cb"] += np.ones(len(d), d.dtype) @ d
+        np.matmul(d, w["c"].T, out=dh_out[k : k + 2048])
     order, ends = _by_class(cls)
     rows, at = flat[order], sym[order] % WIDTH
     back = np.empty_like(rows)
     for c in range(FREQUENT_CLASSES):
         b, e = ends[c], ends[c + 1]
         if e > b:
-            d, more = softmax(rows[b:e], w["w"][c], w["wb"][c], at[b:e])
+            d, more = softmax(rows[b:e], w["w"][c], w["wb"][c], at[b:e], calm)
             loss += more
-            g["w"][c], g["wb"][c] = rows[b:e].T @ d, d.sum(0)
+            g["w"][c], g["wb"][c] = rows[b:e].T @ d, np.ones(len(d), d.dtype) @ d
             np.matmul(d, w["w"][c].T, out=back[b:e])
     dh_out[order] += back
     dh_out = dh_out.reshape(steps, streams, n)
-    back, dgs = np.zeros((streams, n), np.float32), np.empty((steps, streams, 3 * n), np.float32)
+    z, r, c = gates
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), resets * r * (1 - r)
+    # by the inputs: update, reset, candidate; by what the candidate has of the state
+    dg, da = np.empty_like(gates), np.empty_like(before)
+    back, parts = np.zeros((streams, n), before.dtype), np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 2, 0))
     for t in range(steps - 1, -1, -1):
-        h_t, z, r, a, c = kept[t]
-        dh = dh_out[t] + back
-        dc = dh * (1 - z) * (1 - c * c)
-        dz, dr = dh * (h_t - c) * z * (1 - z), dc * a * r * (1 - r)
-        dhu = np.concatenate([dz, dr, dc * r], 1)
-        dgs[t] = np.concatenate([dz, dr, dc], 1)
-        g["u"] += h_t.T @ dhu
-        back = dh * z + dhu @ w["u"].T
+        dh = dh_out[t]
+        dh += back
+        dz, dr, dc = dg[:, t]
+        np.multiply(dh, by_c[t], out=dc)
+        np.multiply(dh, by_z[t], out=dz)
+        np.multiply(dc, by_r[t], out=dr)
+        np.multiply(dc, r[t], out=da[t])
+        back = dh * z[t]
+        back += dz @ parts[0]
+        back += dr @ parts[1]
+        back += da[t] @ parts[2]
         if some[t]:
             back[begins[t]] = 0
-    order = np.argsort(x, axis=None, kind="stable")
+    first = before.reshape(-1, n).T
+    g["u"] = np.concatenate([first @ d.reshape(-1, n) for d in (dg[0], dg[1], da)], 1)
+    order = np.argsort(x.astype(np.int16), axis=None, kind="stable")
     seen, first = np.unique(x.ravel()[order], return_index=True)
-    g["x"][seen] = np.add.reduceat(dgs.reshape(-1, 3 * n)[order], first)
+    g["x"][seen] = np.add.reduceat(np.concatenate([d.reshape(-1, n) for d in dg], 1)[order], first)
+    h = h.copy()
     return {k: v / len(sym) for k, v in g.items()}, h, loss / len(sym)
 
 
@@ -244,27 +292,47 @@ def train(w: Weights, texts: list[np.ndarray], steps: int, rate: float = 0.01) -
 
 # -- the corpus -------------------------------------------------------------------------------------------------------
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words (``common.SPACE_WORD``, as strings), the place of each word of each text among them, and the number of words of each text; null has none."""
+    # a copy: Arrow's cast of a slice of a longer array gave bytes that are not its own
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = lists.flatten().dictionary_encode()
+    codes, ends = found.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    empty = pc.index(found.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:  # Arrow has an empty word before white space at a text's end
+        real = codes != empty
+        codes, ends = codes[real], np.r_[0, np.cumsum(real)][ends]
+    return found.dictionary, codes, np.diff(ends)
+
+
+#: Rows of texts whose words are found at once.
+SLICE = 1024
+
+
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word, spelling, c`` of all words of ``docs``."""
+    """``word, c`` of all words of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: Counter = Counter()
+        for batch in batches:
+            held = []
+            for at in range(0, len(batch), SLICE):
+                words, codes, _ = words_of(batch.column(0).slice(at, SLICE))
+                c = np.bincount(codes, minlength=len(words))
+                some = pa.table({"word": words, "c": pa.array(c, pa.int64())})
+                held.append(some.filter(pa.array(c > 0)))
+            if held:
+                all_ = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+                yield from all_.select(["word", "c_sum"]).rename_columns(["word", "c"]).cast(pa.schema([("word", pa.binary()), ("c", pa.int64())])).to_batches(100_000)
 
-        def rows() -> pa.RecordBatch:
-            words = list(now)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(spelling, words), pa.string()), pa.array(now.values(), pa.int64())], ["word", "spelling", "c"])
+    return docs.select(text).mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
-        for batch in batches:
-            for value in sliced(batch.column(0)):
-                now.update(space_words(value))
-            if len(now) > 500_000:
-                yield rows()
-                now.clear()
-        if now:
-            yield rows()
 
-    return (docs.select(text).mapInArrow(count, "word binary, spelling string, c bigint")
-            .groupBy("word").agg(F.first("spelling").alias("spelling"), F.sum("c").alias("c")))
+def spelled_as(word: str = "word") -> Column:
+    """``spelling`` of a column of words."""
+    text = F.decode(word, "UTF-8")
+    last, n = F.ascii(F.substring(text, -1, 1)), F.char_length(text)
+    return F.concat(F.least(last, F.lit(0x250)).cast("string"), F.lit(" "), F.when(n < 5, "0").when(n < 9, "1").otherwise("2"), (F.octet_length(word) != n).cast("int").cast("string"))
 
 
 def most_frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
@@ -305,18 +373,33 @@ class Symbols:
     def spelled(self, word: bytes) -> int:
         return self.class_of.get(spelling(word), SPELLING_CLASSES)
 
-    def read(self, text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols, places in the top list (-1: not in it) and the words that are not, in order."""
-        words = space_words(text)
-        words.append(END)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+    def _spelled(self, words: pa.Array) -> np.ndarray:
+        """``spelled`` of an array of strings."""
+        last = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
+        ends = np.array([min(ord(c or "\0"), 0x250) for c in last.dictionary.to_pylist()], np.int64)[last.indices.to_numpy()]
+        n, size = pc.utf8_length(words).to_numpy(), pc.binary_length(words).to_numpy()
+        keys, at = np.unique(8 * ends + 2 * np.where(n < 5, 0, np.where(n < 9, 1, 2)) + (n != size), return_inverse=True)
+        return np.array([self.class_of.get(f"{chr(k >> 3)}{k >> 1 & 3}{k & 1}", SPELLING_CLASSES) for k in keys.tolist()], np.int32)[at]
+
+    def look_up(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts with their ends: distinct words, then their symbols and places in the top list (-1: not in it), each with the end's behind; the place
+        of every token among them, and the number of tokens of each text."""
+        words, codes, sizes = words_of(texts)
+        at = np.fromiter(map(self.index.get, words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(at < 0)
+        at = np.append(at, np.int32(self.index[END]))
         symbols = self.symbol[at]
-        rare = [words[i] for i in np.flatnonzero(at < 0)]
-        if rare:
-            if len(known) > CACHE:
-                known.clear()
-            symbols[at < 0] = [known.get(w) or known.setdefault(w, FREQUENT + self.spelled(w)) for w in rare]
-        return symbols, at, rare
+        if len(rare):
+            symbols[rare] = FREQUENT + self._spelled(words.take(pa.array(rare)))
+        tokens = np.full(len(codes) + len(sizes), len(words), np.int32)
+        tokens[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
+        return words, symbols, at, tokens, sizes + 1
+
+    def read(self, text: str | None, known: dict | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Symbols, places in the top list and the words that are not in it, in order, of one text with its end."""
+        words, symbols, at, tokens, _ = self.look_up(pa.array([text], pa.string()))
+        far = tokens[at[tokens] < 0]
+        return symbols[tokens], at[tokens], words.take(pa.array(far)).cast(pa.large_binary()).to_pylist()
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -357,10 +440,14 @@ def fitted(learn: DataFrame, n_tokens: int, symbols: Symbols) -> Weights:
     sent_symbols = spark.sparkContext.broadcast(symbols)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, known = sent_symbols.value, {}
+        symbols = sent_symbols.value
         for batch in batches:
-            found = [symbols.read(text, known)[0].astype("<i2").tobytes() for text in sliced(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["round", "shard", "place", "symbols"])
+            for at in range(0, len(batch), SLICE):
+                some = batch.slice(at, SLICE)
+                _, symbol, _, tokens, sizes = symbols.look_up(some.column(3))
+                ends = np.r_[0, 2 * np.cumsum(sizes)].astype(np.int64)
+                found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(symbol[tokens].astype("<i2"))])
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], found.cast(pa.binary())], ["round", "shard", "place", "symbols"])
 
     mixed = lambda k: F.xxhash64("doc_id", "text", F.lit(k))
     dealt = learn.select(F.pmod(mixed(1), F.lit(ROUNDS)).alias("round"), mixed(2).alias("shard"), mixed(3).alias("place"), "text")
@@ -400,7 +487,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     # spelling classes hold the words that are not frequent tokens
     often = spark.createDataFrame([(w,) for w, _ in sorted([*top, (END, n_docs)], key=lambda x: (-x[1], x[0]))[: FREQUENT]], "word binary")
     rest = counts.join(F.broadcast(often), "word", "left_anti")
-    spellings = {r["spelling"]: (r["n"], r["v"]) for r in rest.groupBy("spelling").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    spellings = {named(r["spelling"]): (r["n"], r["v"]) for r in rest.groupBy(spelled_as().alias("spelling")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_train, v_train = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
     symbols = Symbols(top, n_docs, spellings)
@@ -408,32 +495,38 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, symbols = sent.value
-        known: dict[bytes, int] = {}
+        mass = np.append(symbols.log_mass, 0)
         pending: list[tuple] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            model = text_log_probs(w, [p[3] for p in pending]) / np.log(10)
-            facts, uid, word, tf = [], [], [], []
-            for lp, (u, i, held, sym, at, rare) in zip(model, pending, strict=True):
-                found = at[at >= 0]
-                low = sym[sym >= FREQUENT] - FREQUENT
-                spelled = symbols.log_count[found[symbols.symbol[found] >= FREQUENT]].sum() - symbols.log_mass[low].sum()
-                # no word has a space
-                facts.append((u, b" %d" % u, 0, i, held, len(sym), int((symbols.count[found] > 0).sum()), float(symbols.log_count[found].sum()), float(lp + spelled)))
-                some = Counter(rare)
-                uid += [u] * len(some)
-                word += some.keys()
-                tf += some.values()
-            columns = [pa.array(c, k) for c, k in zip(zip(*facts, strict=True), kinds, strict=True)]
-            more = [pa.array(uid, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *(pa.nulls(len(uid), k) for k in kinds[3:])]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(columns, more, strict=True)], names)
+            flat, sizes = (np.concatenate([p[k] for p in pending]) for k in (0, 1))
+            model = flat_log_probs(w, flat, sizes) / np.log(10)
+            own = [pa.concat_arrays([p[2].column(k) for p in pending]) for k in range(3)]
+            n_known, base, spelled = (np.concatenate([p[k] for p in pending]) for k in (3, 4, 5))
+            # no word has a space
+            alone = pa.array([b" %d" % u for u in own[0].to_pylist()], pa.binary())
+            columns = [own[0], alone, np.zeros(len(sizes), np.int64), *own[1:], sizes, n_known, base, model + spelled]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            for u, i, held, value in zip(*(sliced(c) for c in batch.columns), strict=True):
-                sym, at, rare = symbols.read(value, known)
-                pending.append((u, i, held, sym, at, rare))
-                size += len(sym)
+            for begin in range(0, len(batch), SLICE):
+                some = batch.slice(begin, SLICE)
+                words, symbol, at, tokens, sizes = symbols.look_up(some.column(3))
+                first = np.cumsum(sizes) - sizes
+                listed = at >= 0
+                log_count = np.where(listed, symbols.log_count[at], 0)
+                spelled = np.where(symbol >= FREQUENT, log_count - mass[np.maximum(symbol - FREQUENT, 0)], 0)
+                flat = symbol[tokens].astype(np.int16)
+                n_known = np.add.reduceat((listed & (symbols.count[at] > 0)).astype(np.int64)[tokens], first)
+                pending.append((flat, sizes, some, n_known, np.add.reduceat(log_count[tokens], first), np.add.reduceat(spelled[tokens], first)))
+                size += len(flat)
+                # words that are not in the top list, once a text
+                far = np.flatnonzero(~listed[tokens])
+                if len(far):
+                    pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[far] * len(at) + tokens[far], return_counts=True)
+                    more = [some.column(0).take(pa.array(pairs // len(at))), words.take(pa.array(pairs % len(at))).cast(pa.binary()), pa.array(tf, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*more, *(pa.nulls(len(pairs), k) for k in kinds[3:])], names)
                 if size >= BUFFER:
                     yield rows()
                     pending, size = [], 0

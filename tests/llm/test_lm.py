@@ -4,9 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attnlens.llm import lm
+from attnlens.llm.common import space_words
 
 
 def test_gradients_match_differences():
@@ -143,3 +145,30 @@ def test_empty_table_clashing_names_ties_and_a_long_text(spark):
     got = {r["doc_id"]: r for r in lm.scores(docs).collect()}
     assert got[1]["score"] == got[2]["score"] and got[3]["n_tokens"] == 60_001 and got[None]["n_tokens"] == 1
     assert lm.scores(docs.limit(0)).count() == 0
+
+
+def test_words_of_slices_are_the_word_rule():
+    texts = ["", None, " Ab a\n", "x\x0bY\x1cÀ É\x85z\n\n", "\t", "a a A  b 𐐀x", "long " * 3000, "É" * 70] * 40
+    column, symbols = pa.array(texts), lm.Symbols([(b"a", 9)], len(texts), {lm.spelling(w): (1, 1) for w in (b"x", b"long", "É".encode())})
+    for at in range(0, len(texts), 37):  # the later ones begin inside the array's buffers
+        some = column.slice(at, 37)
+        words, codes, sizes = lm.words_of(some)
+        words = words.cast(pa.large_binary()).to_pylist()
+        want = [space_words(t) for t in some.to_pylist()]
+        assert [words[k] for k in codes] == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+        _, symbol, place, tokens, sizes = symbols.look_up(some)
+        assert sizes.tolist() == [len(t) + 1 for t in want]
+        assert symbol[tokens].tolist() == [symbols.symbol[symbols.index[w]] if w in symbols.index else lm.FREQUENT + symbols.spelled(w) for t in want for w in [*t, lm.END]]
+
+
+def test_spelling_in_sql_is_the_spelling(spark):
+    words = ["a", "abcde", "abcdefghi", "é", "aé", "éa", "語", "x𐐀", "ɏɐ", "12345678", "naïveté"]
+    rows = spark.createDataFrame([(w.encode(),) for w in words], "word binary").select("word", lm.spelled_as().alias("s")).collect()
+    assert [lm.named(r["s"]) for r in rows] == [lm.spelling(w.encode()) for w in words]
+
+
+def test_steps_run_only_for_sequences_that_go_on(monkeypatch):
+    step, rows = lm._step, []
+    monkeypatch.setattr(lm, "_step", lambda g, u, h, out: rows.append(len(h)) or step(g, u, h, out))
+    lm.text_log_probs(lm.fresh(2), [np.zeros(n, np.int64) for n in (1, 5, 64, 65, 200)])
+    assert sum(rows) == 335 and len(rows) == 200
